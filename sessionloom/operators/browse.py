@@ -67,7 +67,7 @@ def list_sessions(
         "first_event",
         "last_event",
         F.lit(page).alias("page"),
-        F.lit(total).alias("total_sessions"),
+        F.lit(total).cast("bigint").alias("total_sessions"),
         F.lit(pages).alias("total_pages"),
         F.lit(page > 1).alias("has_prev"),
         F.lit(page < pages).alias("has_next"),

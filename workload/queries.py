@@ -590,7 +590,8 @@ MODELS = {"Pop": scorers.Popularity, "Random": scorers.Random, "ItemKNN": knn, "
 
 @query
 def benchmark_models(spark, d):
-    return rounded(benchmark_table(MODELS, split_sessions(spark, d)), "value")
+    split = evaluation.split_leave_one_out(short_sessions(spark, d), hot=None)
+    return rounded(benchmark_table(MODELS, split), "value")
 
 
 @query
