@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sessionloom.functions import clean
 from sessionloom.operators.keys import dense_key
 from sessionloom.operators.skew import left_lookup
+from sessionloom.sources.scratch import save_scratch
 
 ID_COLUMNS = ("anonymized_user_id", "anonymized_anonymous_id", "anonymized_listing_id")
 UNUSED_COLUMNS = ("usage_types", "is_bot", "event_date", "month")
@@ -133,10 +134,11 @@ def numeric_keys(
     """Add dense ``U_``/``A_``/``S_`` keys and ``unique_user_id`` (user, else anonymous).
 
     The three keys are put together on the distinct id triples, about one per session,
-    so the wide events are shuffled once and not once per key.
+    so the wide events are shuffled once and not once per key. The triples are written
+    once, because each numbering reads them.
     """
     ids = [user, anonymous, session]
-    triples = events.select(*ids).distinct()
+    triples = save_scratch(events.select(*ids).distinct(), "ids")
     keyed = triples
     for source, prefix, name in (
         (user, "U_", "user_logged_numeric_id"),

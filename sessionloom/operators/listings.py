@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionloom.functions import clean, geo
 from sessionloom.operators.keys import dense_key
+from sessionloom.sources.scratch import save_scratch
 
 DOUBLE_COLUMNS = ("price", "usable_areas", "total_areas", "ceiling_height")
 INTEGER_COLUMNS = ("bathrooms", "bedrooms", "suites", "parking_spaces", "floors")
@@ -93,8 +94,12 @@ def item_mapping(listings: DataFrame) -> DataFrame:
 def map_item_ids(
     df: DataFrame, version: str = "updated_at", ties: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(latest active listings with item numbers, mapping table)."""
-    listings = number_items(latest_active(df, version=version, ties=ties))
+    """(latest active listings with item numbers, mapping table).
+
+    The latest versions are written once: numbering and both results read them.
+    """
+    latest = save_scratch(latest_active(df, version=version, ties=ties), "latest")
+    listings = number_items(latest)
     return listings, item_mapping(listings)
 
 

@@ -679,13 +679,13 @@ def rank_models(spark, d):
 @query
 def rank_models_by_k(spark, d):
     merged = runs.merge_runs(tables.benchmark_runs(spark, d))
-    return rounded(runs.rank_models_by_k(merged), "value")
+    return rounded(runs.rank_models_by_k(merged), "value", places=9)
 
 
 @query
 def metric_means(spark, d):
     merged = runs.merge_runs(tables.benchmark_runs(spark, d))
-    return rounded(runs.metric_means(merged), "test_mrr@10", "test_hit@5", "test_hit@10")
+    return rounded(runs.metric_means(merged), "test_mrr@10", "test_hit@5", "test_hit@10", places=9)
 
 
 @query
