@@ -204,25 +204,30 @@ def funnel_report(
     """Rows, sessions and items left after each step, with shares of the step before.
 
     All steps are counted in one job; steps that grow out of each other share their
-    shuffles. The share windows run over one row per step.
+    shuffles. A step that keeps nothing still has its line. The share windows run over
+    one row per step.
     """
     parts = None
-    for number, (name, df) in enumerate(steps):
+    for number, (_, df) in enumerate(steps):
         part = df.select(
-            F.lit(number).alias("step"),
-            F.lit(name).alias("name"),
-            F.col(session).alias("session"),
-            F.col(item).alias("item"),
+            F.lit(number).alias("step"), F.col(session).alias("session"), F.col(item).alias("item")
         )
         parts = part if parts is None else parts.unionByName(part)
-    per_step = parts.groupBy("step", "name").agg(
+    counted = parts.groupBy("step").agg(
         F.count("*").alias("rows"),
         F.count_distinct("session").alias("sessions"),
         F.count_distinct("item").alias("items"),
     )
+    names = parts.sparkSession.createDataFrame(
+        [(number, name) for number, (name, _) in enumerate(steps)], "step int, name string"
+    )
+    counts = ("rows", "sessions", "items")
+    filled = names.join(F.broadcast(counted), "step", "left").select(
+        "step", "name", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]
+    )
     before = Window.partitionBy(F.lit(0)).orderBy("step")
-    return per_step.withColumns(
-        {f"{c}_share": share(F.col(c), F.lag(c).over(before)) for c in ("rows", "sessions", "items")}
+    return filled.withColumns(
+        {f"{c}_share": share(F.col(c), F.lag(c).over(before)) for c in counts}
     )
 
 
