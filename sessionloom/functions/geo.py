@@ -1,6 +1,6 @@
 """Geographic expressions built from native columns only."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The geohash base-32 alphabet and the WGS-84 ellipsoid.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -15,31 +15,59 @@ def _cell(value: Column, low: float, span: float, bits: int) -> Column:
     return F.greatest(F.least(index, F.lit(2**bits - 1)), F.lit(0)).cast("bigint")
 
 
-def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
-    """Geohash string; NULL when a coordinate is NULL.
+def _letters(first_axis_bits: int) -> str:
+    """The alphabet reordered so that a letter is found by (first axis bits, other axis bits).
 
-    Each axis is quantised once, then the bits are interleaved (longitude first)
-    five at a time. A value exactly on a cell edge belongs to the lower cell.
+    A letter holds five interleaved bits: first axis, other, first, other, first.
     """
-    total = 5 * precision
-    lon_bits, lat_bits = (total + 1) // 2, total // 2
-    x = _cell(lon, -180.0, 360.0, lon_bits)
-    y = _cell(lat, -90.0, 180.0, lat_bits)
-
-    def bit(position: int) -> Column:
-        axis, width = (x, lon_bits) if position % 2 == 0 else (y, lat_bits)
-        return F.shiftright(axis, width - 1 - position // 2).bitwiseAND(F.lit(1))
+    other_bits = 5 - first_axis_bits
+    table = ""
+    for cell in range(32):
+        first, other = cell >> other_bits, cell & ((1 << other_bits) - 1)
+        digit = 0
+        for place in range(5):
+            bits, width = (first, first_axis_bits) if place % 2 == 0 else (other, other_bits)
+            digit = digit * 2 + (bits >> (width - 1 - place // 2) & 1)
+        table += GEOHASH_ALPHABET[digit]
+    return table
 
-    def letter(start: int) -> Column:
-        digit = sum(
-            (F.shiftleft(bit(start + i), 4 - i) for i in range(1, 5)),
-            F.shiftleft(bit(start), 4),
-        )
-        return F.substring(F.lit(GEOHASH_ALPHABET), (digit + 1).cast("int"), F.lit(1))
 
+def geohash_cells(lat: Column, lon: Column, precision: int = 7) -> tuple[Column, Column]:
+    """Cell numbers of the coordinates on the (longitude, latitude) grid of a precision."""
+    total = 5 * precision
+    x = _cell(lon, -180.0, 360.0, (total + 1) // 2)
+    y = _cell(lat, -90.0, 180.0, total // 2)
     # least() and greatest() skip NULLs, so a missing coordinate is ruled out here.
     known = lat.isNotNull() & lon.isNotNull()
-    return F.when(known, F.concat(*[letter(5 * i) for i in range(precision)]))
+    return F.when(known, x), F.when(known, y)
+
+
+def geohash_from_cells(x: Column, y: Column, precision: int = 7) -> Column:
+    """Geohash string of grid cells; letters take turns in starting with longitude."""
+    table = F.lit(_letters(3))
+    x_left, y_left = (5 * precision + 1) // 2, 5 * precision // 2
+    letters = []
+    for place in range(precision):
+        x_bits, y_bits = (3, 2) if place % 2 == 0 else (2, 3)
+        x_left, y_left = x_left - x_bits, y_left - y_bits
+        u = F.shiftright(x, x_left).bitwiseAND(F.lit((1 << x_bits) - 1))
+        v = F.shiftright(y, y_left).bitwiseAND(F.lit((1 << y_bits) - 1))
+        index = u * 4 + v if x_bits == 3 else v * 4 + u
+        letters.append(F.substring(table, (index + 1).cast("int"), F.lit(1)))
+    return F.concat(*letters)
+
+
+def with_geohash(
+    df: DataFrame, name: str, lat: Column, lon: Column, precision: int = 7
+) -> DataFrame:
+    """Add the geohash of two coordinates; NULL when one is missing.
+
+    Each axis is quantised once, in its own projection, and a letter reads its bits from
+    both cell numbers. A value exactly on a cell edge belongs to the lower cell.
+    """
+    x, y = geohash_cells(lat, lon, precision)
+    code = geohash_from_cells(F.col("_x"), F.col("_y"), precision)
+    return df.withColumns({"_x": x, "_y": y}).withColumn(name, code).drop("_x", "_y")
 
 
 def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

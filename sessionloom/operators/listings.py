@@ -30,23 +30,30 @@ def clean_listings(df: DataFrame) -> DataFrame:
     return df.withColumns(typed)
 
 
-def fingerprint(precision: int = 7, area_step: int = 10):
-    """Place, area bucket, bedrooms and unit type in one string."""
-    lat, lon = (F.col(c).try_cast("double") for c in ("lat_region", "lon_region"))
-    place = F.coalesce(geo.geohash(lat, lon, precision), F.col("zip_code"), F.lit(UNKNOWN_GEO))
+def with_fingerprint(df: DataFrame, precision: int = 7, area_step: int = 10) -> DataFrame:
+    """Add ``fingerprint``: place, area bucket, bedrooms and unit type in one string."""
+    placed = df.withColumns(
+        {"_lat": F.col("lat_region").try_cast("double"), "_lon": F.col("lon_region").try_cast("double")}
+    )
+    hashed = geo.with_geohash(placed, "_geohash", F.col("_lat"), F.col("_lon"), precision)
     bucket = F.try_divide("usable_areas", F.lit(area_step)).try_cast("int") * area_step
-    return F.concat_ws(
+    parts = F.concat_ws(
         "|",
-        place,
+        F.coalesce("_geohash", "zip_code", F.lit(UNKNOWN_GEO)),
         F.coalesce(bucket.cast("string"), F.lit(UNKNOWN_AREA)),
         F.coalesce(F.col("bedrooms").cast("string"), F.lit(UNKNOWN_BEDROOMS)),
         F.coalesce("unit_type", F.lit(UNKNOWN_UNIT_TYPE)),
     )
+    return hashed.withColumn("fingerprint", parts).drop("_lat", "_lon", "_geohash")
 
 
 def canonical_id(df: DataFrame, precision: int = 7, area_step: int = 10) -> DataFrame:
     """Add ``canonical_listing_id``: one id for listings of the same physical property."""
-    return df.withColumn("canonical_listing_id", F.md5(fingerprint(precision, area_step)))
+    return (
+        with_fingerprint(df, precision, area_step)
+        .withColumn("canonical_listing_id", F.md5("fingerprint"))
+        .drop("fingerprint")
+    )
 
 
 def latest_active(

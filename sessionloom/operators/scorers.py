@@ -296,6 +296,7 @@ class Factorization:
     """Implicit-feedback matrix factorisation (ALS).
 
     A session is a user of the model, so only sessions with training rows get scores.
+    It scores given candidates only, for the sampled protocol.
     """
 
     def __init__(self, train: DataFrame, rank: int = 64, iterations: int = 10, seed: int = 42):
@@ -321,19 +322,10 @@ class Factorization:
         )
 
     def top(self, history, k):
-        """Best unseen items; ranks beyond k are read to make up for seen ones."""
-        seen = seen_items(history)
-        most = seen.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-        asked = history.select("user_id").distinct().join(self.users, "user_id")
-        rows = (
-            self.model.recommendForUserSubset(asked.select("_user"), k + most)
-            .select("_user", F.explode("recommendations").alias("r"))
-            .select("_user", "r._item", F.col("r.rating").cast("double").alias("score"))
-            .join(self.users, "_user")
-            .join(self.items, "_item")
-            .select("user_id", "item_id", "score")
+        raise ValueError(
+            "ranking the whole catalogue by factors pairs every session with every item; "
+            "score sampled candidates instead"
         )
-        return top_k(unseen(rows, history), k)
 
 
 @dataclass

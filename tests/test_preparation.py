@@ -32,11 +32,11 @@ def test_geohash_equals_bisection(spark):
     points += [(0.0, 0.0), (90.0, 180.0), (-90.0, -180.0), (45.0, -90.0), (-22.5, -56.25)]
     df = spark.createDataFrame(points, "lat double, lon double")
     for precision in (1, 2, 7):
-        code = geo.geohash(F.col("lat"), F.col("lon"), precision)
-        for r in df.withColumn("g", code).collect():
+        for r in geo.with_geohash(df, "g", F.col("lat"), F.col("lon"), precision).collect():
             assert r.g == bisected(r.lat, r.lon, precision)
     gap = spark.createDataFrame([(None, 1.0), (1.0, None)], "lat double, lon double")
-    assert [r[0] for r in gap.select(geo.geohash(F.col("lat"), F.col("lon"))).collect()] == [None, None]
+    coded = geo.with_geohash(gap, "g", F.col("lat"), F.col("lon"))
+    assert [r.g for r in coded.collect()] == [None, None]
 
 
 def vincenty(lat1, lon1, lat2, lon2):
@@ -100,8 +100,7 @@ def test_canonical_id_fallbacks(spark):
         (None, None, None, None, None, None),
         ("bad", "x", None, None, None, None),
     ]
-    df = spark.createDataFrame(data, schema).withColumn("print", listings.fingerprint())
-    got = [r.print for r in df.collect()]
+    got = [r.fingerprint for r in listings.with_fingerprint(spark.createDataFrame(data, schema)).collect()]
     assert got[0] == got[1] and got[0].endswith("|50|2|APARTMENT")
     assert got[2] == "z1|50|2|APARTMENT"
     assert got[3] == got[4] == "UNKNOWN_GEO|-1|0|UNKNOWN"

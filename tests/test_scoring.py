@@ -193,12 +193,14 @@ def test_a_failing_model_is_a_row(spark, frame):
     assert table.where("model = 'Pop'").count() == 12
 
 
-def test_als_scores_only_unseen_items(spark, frame):
-    model = scorers.Factorization(frame, rank=4, iterations=2)
-    top = model.top(frame, 3)
-    assert top.join(frame, ["user_id", "item_id"], "left_semi").count() == 0
-    assert top.groupBy("user_id").count().where("count <> 3").count() == 0
-    assert model.score(frame, frame.select("user_id", "item_id").distinct()).count() > 0
+def test_als_scores_given_candidates(spark, frame):
+    split = evaluation.split_leave_one_out(frame)
+    table = evaluation.evaluate(
+        lambda train: scorers.Factorization(train, rank=4, iterations=2), split, "ALS", mode="sampled", n_negatives=10
+    )
+    assert all(0 <= r.value <= 1 for r in table.collect())
+    with pytest.raises(ValueError):
+        scorers.Factorization(frame, rank=2, iterations=1).top(frame, 3)
 
 
 def test_grid_equals_single_evaluations(spark, frame):

@@ -5,7 +5,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.functions.geo import geodesic_km, geohash
+from sessionloom.functions.geo import geodesic_km, with_geohash
 from sessionloom.operators import (
     browse,
     clusters,
@@ -155,7 +155,9 @@ def clean_listings(spark, d):
 @query
 def geohash_7(spark, d):
     rows = tables.item_listings(spark, d)
-    return rows.select("listing_id_numeric", geohash(F.col("lat"), F.col("lon"), 7).alias("geohash"))
+    return with_geohash(rows, "geohash", F.col("lat"), F.col("lon"), 7).select(
+        "listing_id_numeric", "geohash"
+    )
 
 
 @query
@@ -538,7 +540,12 @@ def score_fossil_counts(spark, d):
 
 @query
 def score_als(spark, d):
-    return _top(partial(scorers.Factorization, rank=8, iterations=3), spark, d, 10)
+    """Rank of every test item among 100 sampled items, by matrix factorisation."""
+    split = split_sessions(spark, d)
+    train, history, targets = evaluation.evaluation_parts(split)
+    drawn = evaluation.negatives(targets, history, split, 100, SEED)
+    model = scorers.Factorization(train, rank=8, iterations=3)
+    return evaluation.ranks_sampled(model, history, targets, drawn)
 
 
 def _ranks(build, spark, d):

@@ -98,13 +98,13 @@ def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
     lines, part = table(spark, folder, "lineitem"), table(spark, folder, "part")
     number = F.col("l_linenumber")
     size = F.col("p_size").cast("string")
-    stamp = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
+    stamp = F.col("l_shipdate").cast("string")
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat(F.lit("L"), F.col("l_partkey")).alias("anonymized_listing_id"),
         F.when(F.col("l_linestatus") == "O", "ACTIVE").otherwise("INACTIVE").alias("status"),
         F.when(number == 5, "unknown").otherwise(stamp).alias("updated_at"),
         stamp.alias("created_at"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("dt"),
+        F.col("l_shipdate").cast("date").cast("string").alias("dt"),
         F.when(number == 2, "").otherwise(F.concat(F.lit("R$ "), F.col("l_extendedprice"))).alias("price"),
         F.when(number != 3, F.concat(size, F.lit(" m"))).alias("usable_areas"),
         F.when(number == 4, "1.2.3").otherwise(size).alias("total_areas"),
@@ -137,7 +137,7 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("L"), F.col("l_partkey")).alias("anonymized_listing_id"),
         F.when(F.col("l_linenumber") != 7, ms.cast("string")).otherwise("n/a").alias("collector_timestamp"),
         F.concat("l_returnflag", "l_linestatus").alias("event_type"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("dt"),
+        F.col("l_shipdate").cast("date").cast("string").alias("dt"),
         F.lit("browser").alias("browser_family"),
         line_number().alias("event_id"),
     )
