@@ -70,18 +70,17 @@ def with_geohash(
     return df.withColumns({"_x": x, "_y": y}).withColumn(name, code).drop("_x", "_y")
 
 
-def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Distance on the WGS-84 ellipsoid by Lambert's long-line formula; NULL-safe.
+def with_geodesic_km(
+    df: DataFrame, name: str, lat1: Column, lon1: Column, lat2: Column, lon2: Column
+) -> DataFrame:
+    """Add the distance on the WGS-84 ellipsoid by Lambert's long-line formula; NULL-safe.
 
-    Relative error stays near 1e-6, against up to 5.6e-3 for a sphere.
+    Relative error stays near 1e-6, against up to 5.6e-3 for a sphere. Reduced latitudes
+    and the central angle are projected first, so each is computed once per row.
     """
     f = WGS84_FLATTENING
-    b1 = F.atan(F.lit(1 - f) * F.tan(F.radians(lat1)))
-    b2 = F.atan(F.lit(1 - f) * F.tan(F.radians(lat2)))
-    hav = F.pow(F.sin((b2 - b1) / 2), 2.0) + F.cos(b1) * F.cos(b2) * F.pow(
-        F.sin(F.radians(lon2 - lon1) / 2), 2.0
-    )
-    sigma = F.asin(F.sqrt(F.least(hav, F.lit(1.0)))) * 2
+    b1, b2, sigma, turn = F.col("_b1"), F.col("_b2"), F.col("_sigma"), F.col("_turn")
+    hav = F.pow(F.sin((b2 - b1) / 2), 2.0) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(turn), 2.0)
     mid, half = (b1 + b2) / 2, (b2 - b1) / 2
     x = (sigma - F.sin(sigma)) * F.try_divide(
         F.pow(F.sin(mid) * F.cos(half), 2.0), F.pow(F.cos(sigma / 2), 2.0)
@@ -89,9 +88,23 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     y = (sigma + F.sin(sigma)) * F.try_divide(
         F.pow(F.cos(mid) * F.sin(half), 2.0), F.pow(F.sin(sigma / 2), 2.0)
     )
-    return F.when(sigma == 0, F.lit(0.0)).otherwise(
+    # least() skips NULLs, so the angle is only taken where it is known.
+    angle = F.when(hav.isNotNull(), F.asin(F.sqrt(F.least(hav, F.lit(1.0)))) * 2)
+    km = F.when(sigma == 0, F.lit(0.0)).otherwise(
         F.lit(WGS84_RADIUS_KM) * (sigma - F.lit(f / 2) * (x + y))
     )
+    return (
+        df.withColumns(
+            {
+                "_b1": F.atan(F.lit(1 - f) * F.tan(F.radians(lat1))),
+                "_b2": F.atan(F.lit(1 - f) * F.tan(F.radians(lat2))),
+                "_turn": F.radians(lon2 - lon1) / 2,
+            }
+        )
+        .withColumn("_sigma", angle)
+        .withColumn(name, km)
+        .drop("_b1", "_b2", "_turn", "_sigma")
+    )
 
 
 def planar_degrees(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

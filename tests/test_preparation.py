@@ -71,12 +71,12 @@ def test_geodesic_is_close_to_vincenty(spark):
     data = [(-20.0, -40.0, -20.0, -40.0), (-20.0, -40.0, -20.009, -40.0)]
     data += [(rng.uniform(-34, 5), rng.uniform(-74, -35), rng.uniform(-34, 5), rng.uniform(-74, -35)) for _ in range(500)]
     df = spark.createDataFrame(data, "a double, b double, c double, d double")
-    km = geo.geodesic_km(*[F.col(c) for c in "abcd"])
-    for r in df.withColumn("km", km).collect():
+    ends = [F.col(c) for c in "abcd"]
+    for r in geo.with_geodesic_km(df, "km", *ends).collect():
         true = vincenty(r.a, r.b, r.c, r.d)
         assert abs(r.km - true) <= 3e-6 * max(true, 1e-6)
     gap = spark.createDataFrame([(None, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
-    assert gap.select(km).first()[0] is None
+    assert geo.with_geodesic_km(gap, "km", *ends).first().km is None
 
 
 def test_dirty_listing_values_become_null(spark):

@@ -869,13 +869,13 @@ def melted(table: str) -> str:
 oracle(
     "rank_models_by_k",
     f"""SELECT metric, topk, CAST(row_number() OVER (PARTITION BY metric, topk ORDER BY v DESC NULLS LAST, model) AS INT)
-    AS rank, model, round(v, 9) AS value
+    AS rank, model, round(v, 12) AS value
     FROM (SELECT metric, topk, model, avg(value) AS v FROM ({melted('merged')}) GROUP BY 1, 2, 3)""",
 )
 oracle(
     "metric_means",
-    """SELECT model, round(avg("test_mrr@10"), 9) AS "test_mrr@10", round(avg("test_hit@5"), 9) AS "test_hit@5",
-    round(avg("test_hit@10"), 9) AS "test_hit@10" FROM merged GROUP BY model""",
+    """SELECT model, round(avg("test_mrr@10"), 12) AS "test_mrr@10", round(avg("test_hit@5"), 12) AS "test_hit@5",
+    round(avg("test_hit@10"), 12) AS "test_hit@10" FROM merged GROUP BY model""",
 )
 oracle(
     "metric_quartiles",

@@ -5,7 +5,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.functions.geo import geodesic_km, with_geohash
+from sessionloom.functions.geo import with_geodesic_km, with_geohash
 from sessionloom.operators import (
     browse,
     clusters,
@@ -166,8 +166,8 @@ def geodesic_distance(spark, d):
     lines = tables.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     rows = lines.join(tables.item_listings(spark, d), F.col("l_partkey") == F.col("listing_id_numeric"))
     home = (F.col("l_suppkey") * 7 % 80 - 40).cast("double"), (F.col("l_suppkey") * 13 % 360 - 180).cast("double")
-    km = geodesic_km(F.col("lat"), F.col("lon"), *home)
-    return rows.select("l_partkey", "l_suppkey", F.round(km, 6).alias("km"))
+    located = with_geodesic_km(rows, "km", F.col("lat"), F.col("lon"), *home)
+    return rounded(located.select("l_partkey", "l_suppkey", "km"), "km")
 
 
 @query
@@ -686,13 +686,13 @@ def rank_models(spark, d):
 @query
 def rank_models_by_k(spark, d):
     merged = runs.merge_runs(tables.benchmark_runs(spark, d))
-    return rounded(runs.rank_models_by_k(merged), "value", places=9)
+    return rounded(runs.rank_models_by_k(merged), "value", places=12)
 
 
 @query
 def metric_means(spark, d):
     merged = runs.merge_runs(tables.benchmark_runs(spark, d))
-    return rounded(runs.metric_means(merged), "test_mrr@10", "test_hit@5", "test_hit@10", places=9)
+    return rounded(runs.metric_means(merged), "test_mrr@10", "test_hit@5", "test_hit@10", places=12)
 
 
 @query
