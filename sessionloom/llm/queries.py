@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import simhash
+from sessionloom.llm import minimax, mixing, simhash
 from sessionloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,3 +20,14 @@ def query(build: Query) -> Query:
 def op2_simhash_near_dedup(spark, d):
     rows = simhash.near_duplicates(table(spark, d, "documents"))
     return rows.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_minimax_sharding(spark, d):
+    rows = minimax.sharded(table(spark, d, "documents"))
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query
+def op9_mixing(spark, d):
+    return mixing.mix_plan(table(spark, d, "documents"))
