@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import minimax, mixing, simhash
+from sessionloom.llm import minimax, mixing, quality_knn, simhash
 from sessionloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op5_minimax_sharding(spark, d):
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query
+def op8_quality_knn(spark, d):
+    return quality_knn.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op9_mixing(spark, d):
     return mixing.mix_plan(table(spark, d, "documents"))
