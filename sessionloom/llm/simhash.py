@@ -244,6 +244,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
     of_all = nodes.join(of_linked, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("class_fp"), F.coalesce("least", "first").alias("component_id")
     )
+    of_all = save_scratch(of_all, "classes")  # a fresh table, so that Spark can split a fingerprint with very many rows
     return prints.join(of_all, "fp").select("doc_id", "text_hash", "fp", "class_fp", "component_id")
 
 
