@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import minimax, mixing, quality_knn, simhash
+from sessionloom.llm import minimax, mixing, quality_knn, simhash, toxic_crf
 from sessionloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_toxic_crf(spark, d):
+    return toxic_crf.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op2_simhash_near_dedup(spark, d):
     rows = simhash.near_duplicates(table(spark, d, "documents"))
