@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 from sessionloom.llm.common import held_out, ship
 from sessionloom.llm.labelled import labelled_sample
 
-PER_CLASS = 4_096
+PER_CLASS = 3_072
 SEEDS = 5_000
-SEED_Z = 2.5
+SEED_Z = 3.0  # standard deviations of a marking key's log-odds ratio, at least
+SEED_ODDS = 2.5  # and the ratio itself
 WINDOW = 12  # tokens on either side
 WINDOWS_A_DOCUMENT = 4
 FEATURES = 1 << 16
-ROUNDS = 150
+ROUNDS = 80
 THRESHOLD = 0.5
 _TOKENS = 400_000  # tokens of a batch
 _CACHED = 300_000  # words whose scores a task remembers
@@ -105,7 +106,7 @@ def chain_marginals(emission: np.ndarray, begins: np.ndarray, move: np.ndarray,
     return (forward[:, 1] / forward.sum(1)).T.reshape(-1)[:n]
 
 
-def train(tokens: np.ndarray, labels: np.ndarray, used: np.ndarray, rounds: int = ROUNDS, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def train(tokens: np.ndarray, labels: np.ndarray, used: np.ndarray, rounds: int = ROUNDS, rate: float = 0.2, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and moves, by Adam on the chains' log-likelihood.
 
     tokens: windows x length x features; labels and used: windows x length.
@@ -217,7 +218,7 @@ def _seeds(sample: DataFrame) -> set[str]:
     n = dict(sample.groupBy("y").count().collect())
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (n.get(1, 0) + 1 - a)) - F.log(b / (n.get(0, 0) + 1 - b))
-    rows = counts.where("a >= 3").withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(F.col("z") >= SEED_Z).orderBy(F.desc("z"), "key").limit(SEEDS).collect()
+    rows = counts.where("a >= 3").withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where((F.col("z") >= SEED_Z) & (odds >= SEED_ODDS)).orderBy(F.desc("z"), "key").limit(SEEDS).collect()
     return {r.key for r in rows}
 
 
@@ -231,7 +232,7 @@ def _windows(sample: DataFrame, seeds: set[str]) -> tuple[np.ndarray, np.ndarray
                 if not tokens:
                     continue
                 marked = [i for i, t in enumerate(tokens) if not seeds.isdisjoint(_keys(_word(t)))]
-                middle = marked[:WINDOWS_A_DOCUMENT] if y else [*marked[:1], crc32(text.encode()) % len(tokens)]
+                middle = marked[:WINDOWS_A_DOCUMENT] if y else [*marked[:1], *(crc32(f"{k}{text}".encode()) % len(tokens) for k in range(3))]
                 marks, rows, tags = set(marked), [], []
                 for c in middle:
                     start = max(0, c - WINDOW)
