@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import decontaminate, minimax, mixing, quality_knn, simhash, toxic_crf
+from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, toxic_crf
 from sessionloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op3_decontaminate(spark, d):
     return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query
+def op4_pii_bootstrapped(spark, d):
+    return pii.personal_data(table(spark, d, "documents"))
+
+
 @query
 def op5_minimax_sharding(spark, d):
     rows = minimax.sharded(table(spark, d, "documents"))
