@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, toxic_crf
+from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, toxic_crf, vptree
 from sessionloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op5_minimax_sharding(spark, d):
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query
+def op6_vantage_point_trees(spark, d):
+    return vptree.nearest_neighbours(table(spark, d, "embeddings"))
+
+
 @query
 def op8_quality_knn(spark, d):
     return quality_knn.quality(table(spark, d, "documents"), table(spark, d, "labels"))
