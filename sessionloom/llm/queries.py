@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, toxic_crf, vptree
+from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, token_codes, toxic_crf, vptree, warc
 from sessionloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op6_vantage_point_trees(spark, d):
     return vptree.nearest_neighbours(table(spark, d, "embeddings"))
 
 
+@query
+def op7_warc(spark, d):
+    return warc.archived_pages(table(spark, d, "pages"))
+
+
 @query
 def op8_quality_knn(spark, d):
     return quality_knn.quality(table(spark, d, "documents"), table(spark, d, "labels"))
@@ -56,3 +61,8 @@ def op8_quality_knn(spark, d):
 @query
 def op9_mixing(spark, d):
     return mixing.mix_plan(table(spark, d, "documents"))
+
+
+@query
+def op10_token_codes(spark, d):
+    return token_codes.coded_documents(table(spark, d, "documents"))
