@@ -194,7 +194,8 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CON
     every = F.sort_array(F.concat("base", new_spans))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.join(new, "row", "left").select(
         "doc_id", *counts, "base_sha256", text.alias("spans"), F.size(new_spans).cast("bigint").alias("n_found")
     )
