@@ -42,9 +42,8 @@ def running_groups(sized: DataFrame) -> DataFrame:
     order = [F.col("first").asc_nulls_last(), F.col("key")]
     placed = groups.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = save_scratch(placed.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "groups")
-    sums = sorted(placed.groupBy("part").agg(F.sum("weight")).collect())
-    starts = [0, *accumulate(w for _, w in sums)]
-    offsets = sized.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sums, starts, strict=False)], "part int, start bigint")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = placed.groupBy("part").agg(F.sum("weight").alias("sum")).select("part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("start"))
     inside = F.sum("weight").over(Window.partitionBy("part").orderBy("at"))
     return save_scratch(
         placed.select("key", "n", "weight", "part", inside.alias("inside")).join(F.broadcast(offsets), "part")

@@ -157,19 +157,22 @@ def accepted_values(places: DataFrame, rounds: int = ROUNDS, confidence: float =
 
     places: ``value``, ``kind`` (-1 for values that are no seeds) and ``patterns`` of each place.
     """
-    spark = places.sparkSession
     graph = save_scratch(places.select("value", F.explode("patterns").alias("pattern")).distinct(), "graph")
     seeds = save_scratch(places.where("kind >= 0").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
     values = graph.groupBy("pattern").agg(F.count("*").alias("values"))
     free = graph.join(seeds, "value", "left_anti")
     best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
-    accepted = spark.createDataFrame([], "value string, kind int, score double")
+    accepted, before = seeds.where(F.lit(False)), (0, None)
     for _ in range(rounds):
         scored = graph.join(seeds.union(accepted), "value")
         sums = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("n")).where(F.col("n") >= support)
         good = sums.join(values, "pattern").withColumn("score", F.col("sum") / F.col("values")).where(F.col("score") >= confidence)
         offers = free.join(good.select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
         accepted = save_scratch(offers.withColumn("place", F.row_number().over(best)).where("place = 1").select("value", "kind", "score"), "accepted")
+        state = tuple(accepted.agg(F.count("*"), F.sum(F.xxhash64("value", "kind", "score").cast("decimal(38,0)"))).first())
+        if state == before:  # a further round would accept the same
+            break
+        before = state
     return accepted
 
 

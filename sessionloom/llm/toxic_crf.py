@@ -33,8 +33,8 @@ WINDOWS_A_DOCUMENT = 4
 FEATURES = 1 << 16
 ROUNDS = 80
 THRESHOLD = 0.5
-_TOKENS = 400_000  # tokens of a batch
-_CACHED = 300_000  # words whose scores a task remembers
+_TOKENS = 200_000  # tokens of a batch
+_CACHED = 150_000  # words whose scores a task remembers
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _FAR = 25.0
 
@@ -199,10 +199,9 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
     for row in sorted(sample.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, signs array<bigint>").collect()):
         signs = set(enumerate(row.signs))
         if not signs & seen:
-            kept.append((row.doc_id,))
+            kept.append(row.doc_id)
         seen |= signs
-    ids = sample.sparkSession.createDataFrame(kept, f"doc_id {kind}")
-    return sample.join(F.broadcast(ids), "doc_id")
+    return sample.where(F.col("doc_id").isin(kept))
 
 
 def _seeds(sample: DataFrame) -> set[str]:
