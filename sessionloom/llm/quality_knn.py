@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from sessionloom.llm.common import held_out, packed, ship
 from sessionloom.llm.labelled import labelled_sample
 
-PER_CLASS = 2_048
-TERMS = 2_048
+PER_CLASS = 1_024
+TERMS = 1_024
 RANK = 32
 NEIGHBOURS = 7
 THRESHOLD = 0.3
