@@ -15,7 +15,9 @@ def digits_to_double(c: Column) -> Column:
 
 def whole_number(c: Column, to: str = "int") -> Column:
     """Integer part of a decimal string; other text and overflow give NULL."""
-    return F.regexp_extract(F.trim(c), r"^([+-]?\d+)(\.\d*)?$", 1).try_cast(to)
+    text = F.trim(c)
+    whole = F.regexp_extract(text, r"^([+-]?\d+)(\.\d*)?$", 1)
+    return F.when(text.rlike(r"^[+-]?\.\d+$"), F.lit("0")).otherwise(whole).try_cast(to)
 
 
 def epoch_ms_to_timestamp(c: Column) -> Column:

@@ -25,7 +25,7 @@ def resolve_metric(runs: DataFrame, metric: str) -> str:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """One run per model and data set: the latest evaluation run, else the latest training run.
 
-    Latest means last by name. Names and ids of both kinds are kept.
+    Latest means last by name, then by id. Names and ids of both kinds are kept.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in runs.columns])
     names = F.struct("run_name", "run_id")
@@ -34,9 +34,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return (
         runs.groupBy("model", "dataset")
         .agg(
-            F.max_by(whole, F.struct("is_eval", "run_name")).alias("_best"),
-            F.max_by(names, F.when(is_eval, F.col("run_name"))).alias("_eval"),
-            F.max_by(names, F.when(~is_eval, F.col("run_name"))).alias("_train"),
+            F.max_by(whole, F.struct("is_eval", "run_name", "run_id")).alias("_best"),
+            F.max_by(names, F.when(is_eval, names)).alias("_eval"),
+            F.max_by(names, F.when(~is_eval, names)).alias("_train"),
         )
         .select(
             "model",
@@ -53,9 +53,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 def rank_models(runs: DataFrame, metric: str = "test_MRR@10") -> DataFrame:
     """Model, data set, run and the metric, best first, runs without it last."""
     name = resolve_metric(runs, metric)
-    value = F.col(f"`{name}`")
-    return runs.select("model", "dataset", "run_name", value).orderBy(
-        value.desc_nulls_last(), "model", "dataset"
+    value = F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None))
+    return runs.select("model", "dataset", "run_name", value.alias(name)).orderBy(
+        F.col(f"`{name}`").desc_nulls_last(), "model", "dataset"
     )
 
 
@@ -63,7 +63,7 @@ def long_metrics(runs: DataFrame, ids: Sequence[str] = ("model", "dataset", "run
     """One row per run and metric column."""
     cells = F.array(
         *[
-            F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value"))
+            F.struct(F.lit(c).alias("name"), F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias("value"))
             for c in metric_columns(runs)
         ]
     )
@@ -87,7 +87,7 @@ def rank_models_by_k(runs: DataFrame) -> DataFrame:
 def metric_means(runs: DataFrame) -> DataFrame:
     """Mean of every metric per model."""
     return runs.groupBy("model").agg(
-        *[F.avg(f"`{c}`").alias(c) for c in metric_columns(runs)]
+        *[F.avg(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))).alias(c) for c in metric_columns(runs)]
     )
 
 

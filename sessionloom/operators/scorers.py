@@ -131,12 +131,14 @@ def item_similarity(
 
 
 def transitions(
-    train: DataFrame, order=ORDER, hot: DataFrame | str | None = skew.AUTO
+    train: DataFrame, order=ORDER, hot: DataFrame | str | None = skew.AUTO, lag: int = 1
 ) -> DataFrame:
-    """First-order transition counts and probabilities P(item_j | item_i)."""
-    moves = skew.with_previous(
-        train.select("user_id", "item_id", *order), "user_id", order, "item_id", "item_i", hot
-    ).where(F.col("item_i").isNotNull())
+    """Counts and probabilities P(item_j | item_i ``lag`` steps before)."""
+    moves = train.select("user_id", "item_id", *order).withColumn("item_i", F.col("item_id"))
+    for _ in range(lag):
+        kept = moves.select("user_id", "item_id", *order, F.col("item_i").alias("_from"))
+        moves = skew.with_previous(kept, "user_id", order, "_from", "item_i", hot)
+    moves = moves.where(F.col("item_i").isNotNull())
     counts = moves.groupBy("item_i", F.col("item_id").alias("item_j")).agg(F.count("*").alias("n"))
     totals = counts.groupBy("item_i").agg(F.sum("n").alias("total"))
     return counts.join(totals, "item_i").select(
@@ -253,7 +255,8 @@ class SimilarityMarkov:
 
     score = |history|^-alpha * sum of similarities
           + sum over lags l of (1/l) * P(item | item l steps back).
-    Both parts use the k best neighbours of an item.
+    Similarities are those to the k nearest neighbours; transitions are counted at their own
+    lag and are all used.
     """
 
     train: DataFrame
@@ -270,13 +273,8 @@ class SimilarityMarkov:
         parts = base.join(length, "user_id").select(
             "user_id", "item_id", (F.col("score") * F.pow("_len", F.lit(-self.alpha))).alias("score")
         )
-        likely = Window.partitionBy("item_i").orderBy(F.col("p").desc(), "item_j")
-        nexts = (
-            transitions(self.train, self.order, self.hot)
-            .withColumn("_rn", F.row_number().over(likely))
-            .where(F.col("_rn") <= self.k)
-        )
         for lag in range(1, self.order_len + 1):
+            nexts = transitions(self.train, self.order, self.hot, lag)
             steps = last_item(history, lag, self.order).withColumnRenamed("item_id", "item_i")
             parts = parts.unionByName(
                 steps.join(nexts, "item_i").select(

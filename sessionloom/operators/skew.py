@@ -165,7 +165,8 @@ def left_lookup(df: DataFrame, table: DataFrame, on: Sequence[str] | str) -> Dat
     no_key = F.lit(False)
     for c in on:
         no_key = no_key | F.col(c).isNull()
-    spread = F.when(no_key, F.pmod(F.xxhash64(*df.columns), F.lit(4096)) + 1).otherwise(F.lit(0))
+    hashed = [F.lit(0), *[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]]
+    spread = F.when(no_key, F.pmod(F.xxhash64(*hashed), F.lit(4096)) + 1).otherwise(F.lit(0))
     return (
         df.withColumn("_spread", spread)
         .join(table.withColumn("_spread", F.lit(0).cast("bigint")), [*on, "_spread"], "left")

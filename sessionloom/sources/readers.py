@@ -87,7 +87,7 @@ def read_sessions_csv(spark: SparkSession, path: str, schema: StructType) -> Dat
 def read_runs(spark: SparkSession, path: str, group: str | None = None) -> DataFrame:
     """Exported benchmark runs; metrics as doubles, ``is_eval`` from the run name.
 
-    Config columns beside the known ones and metrics other than ``test_*`` are dropped.
+    A cell that is no number, or not a number by name, is NULL. Config columns beside the known ones and metrics other than ``test_*`` are dropped.
     """
     raw = spark.read.json(path) if path.endswith(".json") else read_csv(spark, path, False)
     names = ("run_name", "run_id", "group", "state", "model", "dataset")
@@ -95,6 +95,6 @@ def read_runs(spark: SparkSession, path: str, group: str | None = None) -> DataF
     rows = raw.select(
         *[c for c in names if c in raw.columns],
         F.col("run_name").startswith("Eval_").alias("is_eval"),
-        *[F.col(f"`{c}`").cast("double").alias(c) for c in metrics],
+        *[F.nanvl(F.col(f"`{c}`").try_cast("double"), F.lit(None)).alias(c) for c in metrics],
     )
     return rows if group is None else rows.where(F.col("group") == group)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import evaluation, scorers, tuning
-from sessionloom.operators.sampling import draw_items
+from sessionloom.operators.sampling import STEP, draw_items
 from sessionloom.plans.benchmark import benchmark_table
 from tests.conftest import rows
 
@@ -130,6 +130,12 @@ def test_draws_follow_the_hash_and_skip_excluded(spark, clicks, frame):
             at = int(md5(f"7|{u}|{j}".encode()).hexdigest()[:8], 16) % len(items)
             if items[at] not in seen and items[at] not in kept:
                 kept.append(items[at])
+        start = int(md5(f"7|{u}|walk".encode()).hexdigest()[:8], 16) % len(items)
+        for i in range(len(items)):
+            item = items[(start + i * STEP) % len(items)]
+            if item not in seen and item not in kept:
+                kept.append(item)
+        assert len(kept) == len(set(items) - set(seen))
         want |= {(u, i, n + 1) for n, i in enumerate(kept[:5])}
     got = draw_items(frame.select("user_id").distinct(), frame, scorers.seen_items(frame), 5, seed=7)
     assert set(rows(got, "user_id", "item_id", "draw")) == want

@@ -29,7 +29,7 @@ def sql(text: str) -> str:
         if name not in wanted:
             wanted.add(name)
             queue += _needs(PARTS[name]) - {name}
-    ctes = ",\n".join(f"{n} AS ({PARTS[n]})" for n in PARTS if n in wanted)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in PARTS if n in wanted)
     return f"WITH {ctes}\n{text}" if ctes else text
 
 
@@ -434,19 +434,19 @@ oracle(
 )
 part(
     "spread",
-    """SELECT *, round(price_stddev / avg_price, 6) AS price_cv FROM (SELECT canonical_listing_id,
+    """SELECT *, price_stddev / avg_price AS price_cv FROM (SELECT canonical_listing_id,
     count(*) AS num_listings, stddev_samp(price) AS price_stddev, avg(price) AS avg_price,
     min(price) AS min_price, max(price) AS max_price FROM can GROUP BY 1) WHERE num_listings > 1""",
 )
 SPREAD = """canonical_listing_id, num_listings, round(price_stddev, 6) AS price_stddev,
-    round(avg_price, 6) AS avg_price, round(min_price, 6) AS min_price, round(max_price, 6) AS max_price, price_cv"""
+    round(avg_price, 6) AS avg_price, round(min_price, 6) AS min_price, round(max_price, 6) AS max_price, round(price_cv, 6) AS price_cv"""
 oracle(
     "cluster_cv_high",
-    f"SELECT {SPREAD} FROM spread WHERE price_cv > 0.3 ORDER BY price_cv DESC, canonical_listing_id LIMIT 10",
+    f"SELECT {SPREAD} FROM spread WHERE spread.price_cv > 0.3 ORDER BY spread.price_cv DESC, canonical_listing_id LIMIT 10",
 )
 oracle(
     "cluster_cv_low",
-    f"SELECT {SPREAD} FROM spread WHERE price_cv < 0.1 ORDER BY price_cv, canonical_listing_id LIMIT 10",
+    f"SELECT {SPREAD} FROM spread WHERE spread.price_cv < 0.1 ORDER BY spread.price_cv, canonical_listing_id LIMIT 10",
 )
 oracle(
     "cluster_sample",
@@ -503,14 +503,20 @@ oracle(
 
 
 def drawn(name: str, users: str, catalogue: str, excluded: str, n: int) -> None:
-    """Up to n seeded items per user of ``users``, outside ``excluded``."""
+    """n seeded items per user of ``users``, outside ``excluded``; all others if there are fewer."""
     part(f"{name}_cat", f"SELECT item_id, row_number() OVER (ORDER BY item_id) AS pos FROM (SELECT DISTINCT item_id FROM {catalogue})")
     part(
         name,
         f"""SELECT user_id, item_id, CAST(draw AS INT) AS draw FROM (SELECT user_id, item_id, row_number() OVER
         (PARTITION BY user_id ORDER BY j) AS draw FROM (SELECT user_id, item_id, min(j) AS j
         FROM (SELECT user_id, j, {draw('user_id', 'j')} % (SELECT count(*) FROM {name}_cat) + 1 AS pos
-          FROM (SELECT DISTINCT user_id FROM {users}), (SELECT unnest(range(0, {2 * n + 1})) AS j))
+          FROM (SELECT DISTINCT user_id FROM {users}), (SELECT unnest(range(0, {2 * n + 1})) AS j)
+          UNION ALL
+          SELECT user_id, {2 * n + 1} + i AS j, ({draw('user_id', "'walk'")} % size + i * step) % size + 1 AS pos
+          FROM (SELECT user_id, size, step, unnest(range(0, least(size, {n} + coalesce(ex, 0)))) AS i
+            FROM (SELECT DISTINCT user_id FROM {users})
+            LEFT JOIN (SELECT user_id, count(DISTINCT item_id) AS ex FROM {excluded} GROUP BY 1) USING (user_id),
+            (SELECT count(*) AS size, CASE WHEN count(*) % 1000003 = 0 THEN 1 ELSE 1000003 END AS step FROM {name}_cat)))
         JOIN {name}_cat USING (pos) GROUP BY user_id, item_id)
         WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM {excluded})) WHERE draw <= {n}""",
     )
@@ -574,6 +580,12 @@ part(
     (SELECT lag(item_id) OVER (PARTITION BY user_id ORDER BY event_ts, event_id) AS item_i, item_id AS item_j
     FROM train) WHERE item_i IS NOT NULL GROUP BY 1, 2""",
 )
+part(
+    "move_2",
+    """SELECT item_i, item_j, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY item_i) AS p FROM
+    (SELECT lag(item_id, 2) OVER (PARTITION BY user_id ORDER BY event_ts, event_id) AS item_i, item_id AS item_j
+    FROM train) WHERE item_i IS NOT NULL GROUP BY 1, 2""",
+)
 part(
     "back",
     """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY event_ts DESC, event_id DESC) AS lag
@@ -589,8 +601,8 @@ part(
     """SELECT user_id, item_id, round(sum(score), 9) AS score FROM (
     SELECT user_id, item_id, score * pow(len, -0.2) AS score FROM knn_all
       JOIN (SELECT user_id, count(*) AS len FROM hist GROUP BY 1) USING (user_id)
-    UNION ALL SELECT user_id, item_j, p / lag FROM back JOIN (SELECT * FROM move QUALIFY row_number() OVER
-      (PARTITION BY item_i ORDER BY p DESC, item_j) <= 20) ON item_id = item_i WHERE lag <= 2)
+    UNION ALL SELECT user_id, item_j, p FROM back JOIN move ON item_id = item_i WHERE lag = 1
+    UNION ALL SELECT user_id, item_j, p / 2 FROM back JOIN move_2 ON item_id = item_i WHERE lag = 2)
     GROUP BY 1, 2""",
 )
 best("fos_top", "fos_all", "hist", 20)
@@ -610,6 +622,7 @@ def ranks(name: str, ranked: str) -> None:
 
 
 part("cand", "SELECT user_id, item_id FROM target UNION ALL SELECT user_id, item_id FROM neg")
+oracle("score_als", "SELECT user_id, item_id, true AS scored FROM cand WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)")
 part("none", "SELECT 0 AS user_id, 0 AS item_id WHERE false")
 part("pop_cand", "SELECT user_id, item_id, score FROM cand JOIN pop USING (item_id)")
 best("pop_drawn", "pop_cand", "none", 20)
@@ -778,8 +791,8 @@ part(
 )
 oracle(
     "session_vs_recs",
-    """SELECT user_id, feature, round(sm, 4) AS session_mean, round(ss, 4) AS session_std, round(rm, 4) AS rec_mean,
-    round(rs, 4) AS rec_std, round((rm - sm) / nullif(sm, 0) * 100, 4) AS diff_pct
+    """SELECT user_id, feature, round(sm, 6) AS session_mean, round(ss, 6) AS session_std, round(rm, 6) AS rec_mean,
+    round(rs, 6) AS rec_std, round((rm - sm) / nullif(sm, 0) * 100, 6) AS diff_pct
     FROM (SELECT user_id, feature, avg(v) FILTER (NOT is_rec) AS sm, stddev_pop(v) FILTER (NOT is_rec) AS ss,
     avg(v) FILTER (is_rec) AS rm, stddev_pop(v) FILTER (is_rec) AS rs FROM side_long GROUP BY 1, 2)
     WHERE sm IS NOT NULL AND rm IS NOT NULL""",

@@ -424,13 +424,13 @@ _SPREAD = ("price_stddev", "avg_price", "min_price", "max_price", "price_cv")
 @query
 def cluster_cv_high(spark, d):
     spread = clusters.price_dispersion(canonical_parts(spark, d))
-    return rounded(clusters.dispersed_clusters(rounded(spread, "price_cv")), *_SPREAD)
+    return rounded(clusters.dispersed_clusters(spread), *_SPREAD)
 
 
 @query
 def cluster_cv_low(spark, d):
     spread = clusters.price_dispersion(canonical_parts(spark, d))
-    return rounded(clusters.uniform_clusters(rounded(spread, "price_cv")), *_SPREAD)
+    return rounded(clusters.uniform_clusters(spread), *_SPREAD)
 
 
 @query
@@ -540,12 +540,13 @@ def score_fossil_counts(spark, d):
 
 @query
 def score_als(spark, d):
-    """Rank of every test item among 100 sampled items, by matrix factorisation."""
+    """The test and sampled items that matrix factorisation scores, with its default parameters."""
     split = split_sessions(spark, d)
     train, history, targets = evaluation.evaluation_parts(split)
     drawn = evaluation.negatives(targets, history, split, 100, SEED)
-    model = scorers.Factorization(train, rank=8, iterations=3)
-    return evaluation.ranks_sampled(model, history, targets, drawn)
+    candidates = targets.select("user_id", "item_id").unionByName(drawn.select("user_id", "item_id"))
+    scored = scorers.Factorization(train).score(history, candidates)
+    return scored.select("user_id", "item_id", F.isnotnull("score").alias("scored"))
 
 
 def _ranks(build, spark, d):
@@ -641,7 +642,7 @@ def feature_compare(spark, d):
 def session_vs_recs(spark, d):
     rows, best = saved_recommendations(spark, d)
     table = recs.session_vs_recommendations(rows, best, tables.item_listings(spark, d))
-    return rounded(table, "session_mean", "session_std", "rec_mean", "rec_std", "diff_pct", places=4)
+    return rounded(table, "session_mean", "session_std", "rec_mean", "rec_std", "diff_pct")
 
 
 @query
