@@ -18,7 +18,7 @@ from sessionloom.operators.listings import (
 )
 from sessionloom.operators.sessions import interaction_events
 from sessionloom.sources import readers, writers
-from sessionloom.sources.scratch import save_scratch
+from sessionloom.sources.scratch import save_scratch, scratch_scope
 
 
 def listing_tables(raw: DataFrame, precision: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -36,8 +36,9 @@ def prepare_listings(
 ) -> None:
     """Write both listing tables; the mapping is read back from the listings just written."""
     raw = readers.read_raw_listings(spark, raw_folder, partitions)
-    listings, _ = listing_tables(raw, precision)
-    writers.write_table(listings, listings_path)
+    with scratch_scope(spark):
+        listings, _ = listing_tables(raw, precision)
+        writers.write_table(listings, listings_path)
     writers.write_table(item_mapping(spark.read.parquet(listings_path)), mapping_path)
 
 
@@ -65,4 +66,5 @@ def prepare_events(
     mapping = readers.read_columns(
         spark, mapping_path, ["anonymized_listing_id", "listing_id_numeric"]
     )
-    writers.write_by_day(keyed_events(raw, mapping), events_path)
+    with scratch_scope(spark):
+        writers.write_by_day(keyed_events(raw, mapping), events_path)

@@ -2,10 +2,13 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_scopes: list[list[str]] = []  # of the running jobs, the paths of their scratch tables
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -25,5 +28,30 @@ def save_scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: fixed rows, short lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables saved inside when the job ends, well or not.
+
+    What the job returns must be written or collected inside. A scope inside another
+    deletes its own tables only.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            delete_folder(spark, path)

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import gzip
 import math
 import random
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import geo, labels
 from sessionloom.operators import clusters, events, keys, listings, stats
 from sessionloom.plans import dataset, raw, report
+from sessionloom.sources.scratch import scratch_folder
 from sessionloom.sources import readers, writers
 from tests.conftest import rows
 
@@ -250,7 +253,10 @@ def test_raw_files_to_dataset(spark, tmp_path):
     raw.prepare_listings(spark, str(tmp_path / "listings"), str(tmp_path / "l"), str(tmp_path / "m"), partitions=2)
     mapping = spark.read.parquet(str(tmp_path / "m"))
     assert mapping.count() == 8 and "l9" not in {r.anonymized_listing_id for r in mapping.collect()}
+    scratch = Path(scratch_folder(spark).removeprefix("file://"))
+    before = set(scratch.iterdir())
     raw.prepare_events(spark, str(tmp_path / "events"), str(tmp_path / "m"), str(tmp_path / "e"))
+    assert set(scratch.iterdir()) == before  # nothing is left of the job's own tables
     keyed = spark.read.parquet(str(tmp_path / "e"))
     assert keyed.columns[:6] == ["listing_id", "unique_user_id", "session_id", "user_id", "anonymous_id", "event_type"]
     assert keyed.count() == 30
