@@ -106,8 +106,9 @@ part(
     CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey % 4 AS INT) END AS parking_spaces,
     p_size % 2 AS suites, CASE WHEN p_partkey % 19 <> 0 THEN p_brand END AS city,
     split_part(p_name, ' ', 1) AS neighborhood, p_type AS unit_type, n_name AS state
-    FROM part JOIN nation ON p_partkey % 25 = n_nationkey WHERE p_partkey % 13 <> 5""",
+    FROM part JOIN nation ON p_partkey % 25 = n_nationkey""",
 )
+part("known", "SELECT * FROM lst WHERE listing_id_numeric % 13 <> 5")
 part(
     "raw_lst",
     f"""SELECT l_orderkey AS source_order, {LINE_NUMBER} AS version,
@@ -155,7 +156,7 @@ part(
     """SELECT anonymized_session_id, event_id, anonymized_listing_id AS listing_id,
     coalesce(anonymized_user_id, id) AS user_id, anonymized_anonymous_id AS anonymous_id
     FROM raw_ev LEFT JOIN ident ON anonymized_anonymous_id = anonymous_id
-    WHERE l_partkey IN (SELECT listing_id_numeric FROM lst)""",
+    WHERE l_partkey IN (SELECT listing_id_numeric FROM known)""",
 )
 
 # ---- sessions ------------------------------------------------------------------------
@@ -163,13 +164,13 @@ part(
 WINDOW = "dt BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'"
 
 
-def session_steps(prefix: str, source: str, support: int) -> None:
+def session_steps(prefix: str, source: str, support: int, most: int) -> None:
     """<prefix>_rep, _len, _sup and _fin: repeats, length, support, length again."""
 
     def limited(table):
         return f"""SELECT * EXCLUDE (rn, sz) FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS sz,
         row_number() OVER (PARTITION BY user_id ORDER BY event_ts DESC, event_id DESC) AS rn
-        FROM {table}) WHERE sz >= 2 AND rn <= 6"""
+        FROM {table}) WHERE sz >= 2 AND rn <= {most}"""
 
     part(
         f"{prefix}_rep",
@@ -188,20 +189,20 @@ def session_steps(prefix: str, source: str, support: int) -> None:
 
 part(
     "inter",
-    f"""SELECT session_id AS user_id, listing_id AS item_id, seconds AS timestamp, event_ts, event_id
-    FROM li WHERE {WINDOW}""",
+    """SELECT session_id AS user_id, listing_id AS item_id, seconds AS timestamp, event_ts, event_id
+    FROM li""",
 )
-session_steps("s", "inter", 20)
+session_steps("s", "inter", 5, 50)
 part("flag_win", f"SELECT * FROM ev WHERE {WINDOW}")
 part("flag_bus", "SELECT * FROM flag_win WHERE business_type = 'O'")
-part("flag_known", "SELECT * FROM flag_bus WHERE listing_id IN (SELECT listing_id_numeric FROM lst)")
+part("flag_known", "SELECT * FROM flag_bus WHERE listing_id IN (SELECT listing_id_numeric FROM known)")
 part("flag_type", "SELECT * FROM flag_known WHERE event_type IN ('AF', 'AO', 'NF', 'NO', 'RF')")
 part(
     "flag_int",
     """SELECT session_id AS user_id, listing_id AS item_id, CAST(epoch(event_ts) AS BIGINT) AS timestamp,
     event_ts, event_id FROM flag_type""",
 )
-session_steps("f", "flag_int", 5)
+session_steps("f", "flag_int", 5, 6)
 part("ses", "SELECT * FROM s_fin")
 
 
@@ -257,7 +258,7 @@ oracle(
 oracle(
     "attach_items",
     """SELECT anonymized_session_id, event_id, anonymized_listing_id, listing_id_numeric
-    FROM raw_ev JOIN lst ON l_partkey = listing_id_numeric""",
+    FROM raw_ev JOIN known ON l_partkey = listing_id_numeric""",
 )
 oracle("resolve_identities", "SELECT anonymous_id, id FROM ident")
 oracle(
@@ -299,7 +300,7 @@ oracle("interaction_events", f"SELECT {EVENT} FROM ev WHERE event_type IN ('AF',
 oracle("load_window", f"SELECT {EVENT} FROM flag_bus")
 oracle(
     "known_items",
-    f"SELECT {EVENT} FROM ev WHERE listing_id IN (SELECT listing_id_numeric FROM lst WHERE state <> 'NATION_3')",
+    f"SELECT {EVENT} FROM ev WHERE listing_id IN (SELECT listing_id_numeric FROM known WHERE state <> 'NATION_3')",
 )
 oracle(
     "dedup_consecutive",
@@ -570,8 +571,8 @@ part("pop", "SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM train GROUP
 part("pop_all", "SELECT user_id, item_id, score FROM (SELECT DISTINCT user_id FROM hist), pop")
 best("pop_top", "pop_all", "hist", 20)
 part("rnd_top", "SELECT user_id, item_id, 1e0 / draw AS score, draw AS rank FROM rnd")
-similarity("sim", "train", 20, 0.0)
-similarity("sim_shrunk", "train", 20, 10.0)
+similarity("sim", "train", 100, 0.0)
+similarity("sim_shrunk", "train", 100, 10.0)
 knn_scores("knn_all", "sim", "hist")
 best("knn_top", "knn_all", "hist", 20)
 part(
@@ -717,13 +718,13 @@ oracle(
 
 # ---- recommendations -----------------------------------------------------------------
 
-similarity("asim", "ses", 20, 0.0)
+similarity("asim", "ses", 100, 0.0)
 knn_scores("rec_all", "asim", "ses")
 best("rec_best", "rec_all", "ses", 10)
 part(
     "rec",
     """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INT) AS rank,
-    item_id, score FROM rec_best WHERE item_id IN (SELECT listing_id_numeric FROM lst)""",
+    item_id, score FROM rec_best WHERE item_id IN (SELECT listing_id_numeric FROM known)""",
 )
 oracle("recommend_topk", "SELECT user_id, rank, item_id, round(score, 6) AS score FROM rec")
 part("loc", "SELECT * FROM lst WHERE lat IS NOT NULL AND lon IS NOT NULL")

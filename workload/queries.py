@@ -32,11 +32,11 @@ QUERIES: dict[str, Query] = {}
 START, END = "1996-01-01", "2000-12-31"
 BUSINESS = "O"
 TYPES = ("AF", "AO", "NF", "NO", "RF")
-MIN_LENGTH, MAX_LENGTH = 2, 6
+MIN_LENGTH, MAX_LENGTH = 2, 6  # of the queries about these limits; others use the library's
 FLAGSHIP_SUPPORT = 5
 SUPPORT = 20
 PRECISION = 2
-NEIGHBOURS = 20
+NEIGHBOURS = 100
 REC_K = 10
 SEED = 42
 
@@ -54,24 +54,24 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 
 def interactions(spark, d):
-    """Windowed order lines as interactions."""
-    rows = sessions.in_window(tables.lines_as_events(spark, d), START, END, business=None)
+    """Order lines as interactions."""
+    rows = tables.lines_as_events(spark, d)
     return sessions.to_interactions(rows).select("user_id", "item_id", "timestamp", *sessions.ORDER)
 
 
-def short_sessions(spark, d):
-    """Sessions of 2..6 events over items with enough support."""
-    return sessions.sessions_from(interactions(spark, d), MIN_LENGTH, MAX_LENGTH, SUPPORT)
+def whole_sessions(spark, d):
+    """Sessions with the library's own limits of length and support."""
+    return sessions.sessions_from(interactions(spark, d))
 
 
 def split_sessions(spark, d):
     """The split session table, written once as a pipeline would."""
-    split = evaluation.split_leave_one_out(short_sessions(spark, d), hot=None)
+    split = evaluation.split_leave_one_out(whole_sessions(spark, d), hot=None)
     return save_scratch(split, "split")
 
 
 def browse_table(spark, d):
-    return short_sessions(spark, d).select(
+    return whole_sessions(spark, d).select(
         F.col("user_id").alias("session_id"), "item_id", "timestamp", "user_id", "event_id"
     )
 
@@ -101,7 +101,7 @@ def canonical_versions(spark, d):
 
 def part_mapping(spark, d):
     """Listing map of the parts that have a listing."""
-    return tables.item_listings(spark, d).select(
+    return tables.known_listings(spark, d).select(
         F.concat(F.lit("L"), "listing_id_numeric").alias("anonymized_listing_id"),
         "listing_id_numeric",
     )
@@ -114,7 +114,7 @@ def session_numbers(spark, d):
 
 
 def knn(train):
-    return scorers.ItemKNN(train, NEIGHBOURS, longest=MAX_LENGTH)
+    return scorers.ItemKNN(train, NEIGHBOURS)
 
 
 def markov(train):
@@ -123,8 +123,8 @@ def markov(train):
 
 def recommended(spark, d):
     """Top 10 neighbours of every session, fitted on all sessions."""
-    rows = save_scratch(short_sessions(spark, d), "sessions")
-    return rows, recs.recommend(rows, knn(rows), tables.item_listings(spark, d), REC_K)
+    rows = save_scratch(whole_sessions(spark, d), "sessions")
+    return rows, recs.recommend(rows, knn(rows), tables.known_listings(spark, d), REC_K)
 
 
 def saved_recommendations(spark, d):
@@ -278,7 +278,7 @@ def load_window(spark, d):
 
 @query
 def known_items(spark, d):
-    places = tables.item_listings(spark, d)
+    places = tables.known_listings(spark, d)
     return _event_columns(
         sessions.known_items(tables.keyed_events(spark, d), places, F.col("state") != "NATION_3")
     )
@@ -313,7 +313,7 @@ def build_sessions(spark, d):
         tables.keyed_events(spark, d),
         START,
         END,
-        tables.item_listings(spark, d),
+        tables.known_listings(spark, d),
         business=BUSINESS,
         types=TYPES,
         min_length=MIN_LENGTH,
@@ -328,7 +328,7 @@ def session_funnel(spark, d):
         tables.keyed_events(spark, d),
         START,
         END,
-        tables.item_listings(spark, d),
+        tables.known_listings(spark, d),
         business=BUSINESS,
         types=TYPES,
         min_length=MIN_LENGTH,
@@ -340,19 +340,19 @@ def session_funnel(spark, d):
 
 @query
 def export_inter_rows(spark, d):
-    rows = inter_rows(short_sessions(spark, d))
+    rows = inter_rows(whole_sessions(spark, d))
     return rows.toDF("user_id", "item_id", "timestamp")
 
 
 @query
 def browse_sessions(spark, d):
-    rows = browse_rows(short_sessions(spark, d))
+    rows = browse_rows(whole_sessions(spark, d))
     return rows.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
 def dataset_stats(spark, d):
-    return stats.dataset_stats(short_sessions(spark, d))
+    return stats.dataset_stats(whole_sessions(spark, d))
 
 
 # ---- statistics ----------------------------------------------------------------------
@@ -514,7 +514,7 @@ def score_random(spark, d):
 def item_similarity(spark, d):
     train = split_sessions(spark, d).where(F.col("part") == "train")
     return rounded(
-        scorers.item_similarity(train, NEIGHBOURS, 10.0, longest=MAX_LENGTH).select(
+        scorers.item_similarity(train, NEIGHBOURS, 10.0).select(
             "item", "neighbour", "rank", "sim"
         ),
         "sim",
@@ -534,7 +534,7 @@ def score_markov1(spark, d):
 @query
 def score_fossil_counts(spark, d):
     return _top(
-        partial(scorers.SimilarityMarkov, k=NEIGHBOURS, order_len=2, longest=MAX_LENGTH, hot=None), spark, d
+        partial(scorers.SimilarityMarkov, k=NEIGHBOURS, order_len=2, hot=None), spark, d
     )
 
 
@@ -598,7 +598,7 @@ MODELS = {"Pop": scorers.Popularity, "Random": scorers.Random, "ItemKNN": knn, "
 
 @query
 def benchmark_models(spark, d):
-    split = evaluation.split_leave_one_out(short_sessions(spark, d), hot=None)
+    split = evaluation.split_leave_one_out(whole_sessions(spark, d), hot=None)
     return rounded(benchmark_table(MODELS, split), "value")
 
 
@@ -606,7 +606,7 @@ def benchmark_models(spark, d):
 def tune_itemknn(spark, d):
     """Whole grid on the validation items."""
     return rounded(
-        tuning.tune_item_knn(split_sessions(spark, d), longest=MAX_LENGTH), "mrr"
+        tuning.tune_item_knn(split_sessions(spark, d)), "mrr"
     )
 
 

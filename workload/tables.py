@@ -69,12 +69,11 @@ def _coordinate(base: int, factor: int):
 
 
 def item_listings(spark: SparkSession, folder: str) -> DataFrame:
-    """One listing per part; some parts have none."""
+    """One listing per part."""
     part, nation = table(spark, folder, "part"), table(spark, folder, "nation")
     key = F.col("p_partkey")
     return (
-        part.where(key % 13 != 5)
-        .join(nation, key % 25 == F.col("n_nationkey"))
+        part.join(nation, key % 25 == F.col("n_nationkey"))
         .select(
             key.alias("listing_id_numeric"),
             _coordinate(-33, 37).alias("lat"),
@@ -93,6 +92,11 @@ def item_listings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def known_listings(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings for the queries about items without one: every 13th part lacks it."""
+    return item_listings(spark, folder).where(F.col("listing_id_numeric") % 13 != 5)
+
+
 def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
     """Listing versions as untyped text: one per order line, with dirty values."""
     lines, part = table(spark, folder, "lineitem"), table(spark, folder, "part")
