@@ -24,6 +24,7 @@ from sessionloom.sources.scratch import save_scratch
 RANGE = 4 << 20
 MAGIC = b"\x1f\x8b\x08"
 _AHEAD = 64 << 10
+_HELD = 4 << 20  # bytes of content behind a batch of records
 _ENDS = b"\r\n\r\n"
 _URN = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -187,8 +188,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
     return save_scratch(work.mapInArrow(write, "path string, bytes bigint, records bigint"), "archives")
 
 
-def read_archives(files: DataFrame, length: int = RANGE) -> DataFrame:
-    """The records of ``files (path, bytes)``, read by byte ranges; payload is null in revisits."""
+def read_archives(files: DataFrame, length: int = RANGE, payloads: bool = True) -> DataFrame:
+    """The records of ``files (path, bytes)``, read by byte ranges; payload is null in revisits.
+
+    Without ``payloads`` they are read and checked against their digests, but not returned.
+    """
     ship(files.sparkSession)
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(length).cast("bigint"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + length, "bytes").alias("end"))
@@ -201,9 +205,10 @@ def read_archives(files: DataFrame, length: int = RANGE) -> DataFrame:
                     found: list[dict] = []
                     held = 0
                     for _, content in records(source, start, end):
-                        found.append(parse(content))
+                        one = parse(content)
+                        found.append(one if payloads else one | {"payload": None})
                         held += len(content)
-                        if held > 16 << 20:
+                        if held > _HELD:
                             yield _batch(found, kinds)
                             found, held = [], 0
                     if found:
@@ -228,5 +233,5 @@ def archived_pages(pages: DataFrame, least: int = 0, length: int = RANGE) -> Dat
     read. An empty table gives no archives and an empty table.
     """
     kind = pages.schema["page_id"].dataType
-    rows = read_archives(write_archives(pages, least=least), length)
+    rows = read_archives(write_archives(pages, least=least), length, payloads=False)
     return rows.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
