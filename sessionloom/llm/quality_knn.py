@@ -24,6 +24,7 @@ PER_CLASS = 1_024
 TERMS = 1_024
 RANK = 32
 NEIGHBOURS = 7
+SHARPNESS = 4  # power of the similarity that a vote counts
 THRESHOLD = 0.3
 _BLOCK = 256  # documents whose products are held at once
 _PIECE = 1 << 20  # bytes of a text counted at once
@@ -80,7 +81,7 @@ class Model:
         cosine = self.embed(counts) @ self.vectors.T
         k = min(self.neighbours, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        vote = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) * self.weight[near]
+        vote = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** SHARPNESS * self.weight[near]
         return np.clip((vote * self.label[near]).sum(1) / vote.sum(1), 0, 1).astype(np.float64)
 
 

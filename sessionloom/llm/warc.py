@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from sessionloom.llm.common import ship
 from sessionloom.llm.files import new_file, new_folder, open_file
-from sessionloom.sources.scratch import save_scratch
 
 RANGE = 4 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -185,7 +184,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([count])], ["path", "bytes", "records"])
 
-    return save_scratch(work.mapInArrow(write, "path string, bytes bigint, records bigint"), "archives")
+    # one row per file; as results of finished tasks they stay the same when executors are lost later
+    return spark.createDataFrame(work.mapInArrow(write, "path string, bytes bigint, records bigint").toArrow())
 
 
 def read_archives(files: DataFrame, length: int = RANGE, payloads: bool = True) -> DataFrame:
@@ -214,8 +214,9 @@ def read_archives(files: DataFrame, length: int = RANGE, payloads: bool = True)
                     if found:
                         yield _batch(found, kinds)
 
-    # ranges are many and even, their rows tiny: deal them out one by one
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(read, _RECORD)
+    # deal the ranges out so that each task has about one range's length, however many small files there are
+    size = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return ranges.repartition(max(1, -(-size // length))).mapInArrow(read, _RECORD)
 
 
 def _batch(found: list[dict], kinds: list[pa.DataType]) -> pa.RecordBatch:
