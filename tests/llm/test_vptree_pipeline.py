@@ -48,6 +48,25 @@ def test_largest_inner_products_over_shards(spark, shard, block):
     assert vptree.nearest_neighbours(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["one", "outlier", "mixed"])
+def test_default_search_finds_all_whatever_the_lengths(spark, lengths):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1_500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "outlier":
+        x[7] *= 10
+    elif lengths == "mixed":
+        x *= np.exp(rng.normal(size=(len(x), 1)))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in vptree.nearest_neighbours(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert got[q] == set(np.argsort(-score)[:20].tolist())
+
+
 def test_pipeline_applies_every_decision(spark, docs, tmp_path):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
