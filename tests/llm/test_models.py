@@ -50,6 +50,18 @@ def test_quality_on_held_out_rows(spark, docs):
     assert kept.count() == sum(r.predicted for r in got)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrst", "абвгдежзиклмнопрстуф", "的一是不了人我在有他这中大来上国"])
+def test_quality_by_words_of_one_shape(spark, docs, letters):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(letters) for _ in range(6))
+    prose, spam = [word() for _ in range(300)], [word() for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(prose if i % 2 else spam) for _ in range(80)) + ".") for i in range(400)]
+    labels = [(i, i % 2) for i in range(400)]
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    pairs = by_label(quality_knn.quality(docs(rows), marks).collect(), labels)
+    assert len(pairs) > 40 and sum(p == y for p, y in pairs) / len(pairs) > 0.95
+
+
 def test_toxicity_on_held_out_rows_with_spans(spark, docs):
     rows, labels = corpus(500, insult)
     extra = [(1000, None), (1001, ""), (1002, "word " * 50_000), (None, "you nitwit"), (5, rows[5][1])]
