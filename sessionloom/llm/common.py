@@ -5,6 +5,7 @@ import shutil
 import tempfile
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: a run of characters other than the ASCII white space characters.
@@ -31,6 +32,14 @@ def packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`").alias(c) for c in columns])
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits that differ in any bit differ in about half of them afterwards."""
+    # fixed values: the public multipliers of the splitmix64 finaliser
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 _shipped: set[str] = set()
 
 

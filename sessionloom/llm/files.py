@@ -24,6 +24,14 @@ def new_file(folder: str, ending: str):
         yield path, stream
 
 
+@contextmanager
+def write_file(path: str):
+    system, place = fs.FileSystem.from_uri(path)
+    system.create_dir(place.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(place, compression=None) as stream:
+        yield stream
+
+
 @contextmanager
 def open_file(path: str):
     system, place = fs.FileSystem.from_uri(path)
