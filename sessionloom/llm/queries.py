@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, super_kmers, token_codes, toxic_crf, vptree, warc
+from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, spelling, super_kmers, token_codes, toxic_crf, vptree, warc
 from sessionloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,8 @@ def op10_token_codes(spark, d):
 def op11_super_kmers(spark, d):
     rows = super_kmers.without_repeats(table(spark, d, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_spelling_variants(spark, d):
+    return spelling.spelling_groups(table(spark, d, "documents"))

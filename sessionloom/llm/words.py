@@ -1,10 +1,22 @@
 """Words of whole batches of texts, told apart once per batch."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def row_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``most`` bytes of text, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    sums, at = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), 0
+    while at < len(batch):
+        upto = max(int(np.searchsorted(sums, sums[at] + most, side="right")) - 1, at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 class BatchWords:
     """Words between ASCII white space of a column of texts (nulls: none).
 
