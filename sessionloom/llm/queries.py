@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, spelling, super_kmers, token_codes, toxic_crf, vptree, warc
+from sessionloom.llm import decontaminate, minimax, mixing, pii, quality_knn, simhash, spelling, super_kmers, token_codes, toxic_crf, vptree, warc, whitening
 from sessionloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ def op11_super_kmers(spark, d):
 @query
 def op12_spelling_variants(spark, d):
     return spelling.spelling_groups(table(spark, d, "documents"))
+
+
+@query
+def op13_whitening(spark, d):
+    return whitening.whitened(table(spark, d, "embeddings"))

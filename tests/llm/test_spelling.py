@@ -98,3 +98,9 @@ def test_pairs_of_random_words():
         assert set(got) == {frozenset((a, b)) for a in some for b in some if a[0] == b[0] and one_edit(a[1], b[1])}
         got = [(more[two.order[i]], some[one.order[j]]) for i, j in zip(*spelling.shortened(two, one), strict=True)]
         assert sorted(got) == sorted((a, b) for a in more for b in some if a[0] == b[0] and one_edit(a[1], b[1]))
+
+
+def test_texts_of_several_slices(docs, monkeypatch):
+    rows = [(i, "Évidence évidence eVIDENCE, thinkíng " * 3_000) for i in range(60)]
+    got = {r.word: r.n for r in spelling.vocabulary(docs(rows).coalesce(1), slip=4_000_000_007).collect()}
+    assert got == {"Évidence": 180_000, "évidence": 180_000, "evidence": 180_000, "thinkíng": 180_000}
