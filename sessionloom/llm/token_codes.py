@@ -11,6 +11,7 @@ ids depend on the word alone, so words are remembered between documents.
 """
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import cache
@@ -26,6 +27,7 @@ from tokenizers import Tokenizer
 
 from sessionloom.llm.common import ship, tasks_for
 from sessionloom.llm.files import new_file, new_folder, open_file
+from sessionloom.llm.words import BatchWords, row_slices
 from sessionloom.sources.scratch import save_scratch
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,7 +38,10 @@ BLOCK = 512  # bits between two entries of a rank directory
 _MAGIC = b"DACS"
 _READ_TOKENS = 1 << 20
 _CACHED = 300_000  # words of a generation
-_TAIL = b".,!?;:#$%&*|"
+_TEXT_BYTES = 4 << 20  # of text encoded at once
+_TAIL = ".,!?;:#$%&*|"
+#: Letters whose normal form and lower case are one letter each, so that a mark behind them stays a piece of its own.
+_PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
 
 # ---- words to ids ----------------------------------------------------------------------
@@ -50,24 +55,24 @@ class Words:
         ends = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, bool)
         self.ends[[i for t, i in ends.items() if t.endswith("</w>")]] = True
-        self.now: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of letters only are one piece each: encoded as one text, they part where a word ends."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of plain letters are one piece each: encoded as one text, they part where a word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return self._encode(words)
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in pairwise([0, *cuts.tolist()])]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Add the ids of the words that are not known."""
+    def learn(self, words: list[str]) -> None:
+        """Add the ids of the words that are not known. Only words of plain letters are parted from the signs behind them."""
         if len(self.now) > _CACHED:
             self.now, self.old = {}, self.now
         letters, others, made = set(), set(), []
@@ -78,7 +83,7 @@ class Words:
                 self.now[w] = self.old[w]
                 continue
             stem = w.rstrip(_TAIL)
-            if stem.decode().isalpha():
+            if _PLAIN.fullmatch(stem):
                 tail = w[len(stem) :]
                 made.append((w, stem, tail))
                 if stem not in self.now:
@@ -93,12 +98,25 @@ class Words:
         for w, stem, tail in made:
             self.now[w] = self.now[stem] + (self.now[tail] if tail else b"")
 
-    def ids(self, text: bytes) -> np.ndarray:
-        """Ids of a UTF-8 text. ASCII white space parts words in every text; other white space is left to the tokenizer."""
-        words = text.split()
-        self.learn(set(words))
-        known = self.now
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and where each text begins.
+
+        ASCII white space parts words in every text; other white space is left to the tokenizer.
+        """
+        words = BatchWords(texts)
+        known = words.known.to_pylist()
+        self.learn(known)
+        parts = [self.now[w] for w in known]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        of_word = lengths[words.codes]
+        ends = np.concatenate(([0], np.cumsum(of_word)))
+        place = np.repeat((np.cumsum(lengths) - lengths)[words.codes] - ends[:-1], of_word) + np.arange(ends[-1])
+        cuts = ends[words.starts]
+        rows = len(cuts) - 1
+        out = np.full(ends[-1] + rows, end_id, np.uint32)
+        out[np.arange(ends[-1]) + np.repeat(np.arange(rows), np.diff(cuts))] = flat[place]
+        return out, cuts[:-1] + np.arange(rows)
 
 
 @cache
@@ -206,24 +224,24 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, folder: str | N
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, number = _words(shared.value), TaskContext.get().partitionId(), 0
-        ids, names, size = [], [], 0
+        ids, names, starts, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            starts = np.concatenate(([0], np.cumsum([len(x) for x in ids])[:-1])).astype(np.int64)
-            index = pa.table({"doc_id": pa.array(names, kind), "start": starts})
+            index = pa.table({"doc_id": pa.concat_arrays(names), "start": np.concatenate(starts)})
             with new_file(folder, "dac") as (path, stream):
                 write_codes(stream, np.concatenate(ids), index)
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (task, number, path, size, len(ids))], ["task", "number", "path", "tokens", "documents"])
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (task, number, path, size, len(index))], ["task", "number", "path", "tokens", "documents"])
 
         for batch in batches:
-            kind = batch.column("doc_id").type
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
-                ids.append(np.append(words.ids(text.as_py() or b""), np.uint32(end_id)))
-                names.append(name)
-                size += len(ids[-1])
+            for part in row_slices(batch, "text", min(_TEXT_BYTES, 4 * file_tokens)):
+                got, at = words.ids(part.column("text"), end_id)
+                ids.append(got)
+                names.append(part.column("doc_id"))
+                starts.append(at + size)
+                size += len(got)
                 if size >= file_tokens:
                     yield flush()
-                    ids, names, size, number = [], [], 0, number + 1
+                    ids, names, starts, size, number = [], [], [], 0, number + 1
         if ids:
             yield flush()
 
