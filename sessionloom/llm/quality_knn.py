@@ -10,6 +10,7 @@ computed in blocks, and the nearest vote with their similarity. Votes of a label
 sampled more thinly than the other count for more, so the scores keep the labels' shares.
 """
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -33,6 +34,8 @@ _BLOCK = 256  # documents whose products are held at once
 _PIECE = 1 << 20  # bytes of a text counted at once
 _ITERATIONS = 6  # of the search for the singular vectors
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_DIGITS = 6  # places of a cosine that count
 
 
 def _classes() -> np.ndarray:
@@ -53,21 +56,26 @@ _COLUMN = ((np.arange(_BASE**3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 def terms_of(text: bytes) -> tuple[np.ndarray, np.ndarray, float]:
     """Columns and counts of the terms, shapes before words, and the share of words that follow themselves."""
     shapes, hashed, words, twice = np.zeros(SHAPES, np.int64), [], 0, 0
-    for at in range(0, len(text), _PIECE):
-        piece = text[at : at + _PIECE]
-        raw = np.frombuffer(piece, np.uint8)
+    at, last = 0, []
+    while at < len(text):
+        end = _SPACE.search(text, at + _PIECE)  # pieces end between words
+        end = end.start() if end else len(text)
+        raw = np.frombuffer(text[at : end + 2], np.uint8)  # three bytes may reach into the next piece
         kind = _KIND[raw]
         if len(kind) > 2:
             code = (kind[:-2] * _BASE + kind[1:-1]) * _BASE + kind[2:]
             shapes += np.bincount(_COLUMN[code] % SHAPES, minlength=SHAPES)
-        split = piece.lower().split()
-        words, twice = words + len(split), twice + sum(map(eq, split, split[1:]))
+        split = last + text[at:end].lower().split()
+        twice += sum(map(eq, split, split[1:]))
         one = np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, len(split))
+        new = one[len(last) :]
+        words += len(new)
         # letters of other scripts, which may stand without spaces, by three bytes
         far = raw[:-2] > 127
         other = (raw[:-2][far].astype(np.uint64) << np.uint64(16)) | (raw[1:-1][far].astype(np.uint64) << np.uint64(8)) | raw[2:][far]
-        mixed = np.concatenate((one, (one[:-1] * _SPREAD + one[1:]) * _SPREAD, (other + np.uint64(1)) * _SPREAD))
+        mixed = np.concatenate((new, (one[:-1] * _SPREAD + one[1:]) * _SPREAD, (other + np.uint64(1)) * _SPREAD))
         hashed.append(np.bincount((mixed >> np.uint64(32)).astype(np.int64) % WORDS, minlength=WORDS))
+        at, last = end, split[-1:]
     counts = np.concatenate((shapes, sum(hashed))) if hashed else np.zeros(SHAPES + WORDS)
     columns = np.flatnonzero(counts)
     return columns.astype(np.int32), counts[columns].astype(np.float32), twice / words if words else 0.0
@@ -146,10 +154,13 @@ class Model:
         """Share of the nearest labelled vectors' votes for label 1; a constant if nothing else was learned."""
         if len(self.vectors) == 0:
             return np.full(len(terms.twice), float(self.label.mean()) if len(self.label) else 0.5)
-        cosine = _unit(terms.weighted(self.idf).times(self.axes)) @ self.vectors.T
-        k = min(self.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        vote = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** SHARPNESS * self.weight[near]
+        found = _unit(terms.weighted(self.idf).times(self.axes)).astype(np.float64) @ self.vectors.T.astype(np.float64)
+        cosine = np.rint(found * 10**_DIGITS).astype(np.int64)
+        k, rows = min(self.neighbours, cosine.shape[1]), cosine.shape[1]
+        # of equal cosines the earlier labelled row counts, so a score does not hang on the block that computes it
+        near = np.argpartition(np.arange(rows) - cosine * rows, k - 1, axis=1)[:, :k]
+        near.sort(axis=1)
+        vote = np.maximum(np.take_along_axis(cosine, near, 1) / 10**_DIGITS, 1e-3) ** SHARPNESS * self.weight[near]
         return np.clip((vote * self.label[near]).sum(1) / vote.sum(1), 0, 1).astype(np.float64)
 
 
@@ -190,8 +201,9 @@ def scored(docs: DataFrame, model: Model, kept: str = "doc_id") -> DataFrame:
     """``kept`` and ``score`` of every row of ``docs (kept, text)``.
 
     Null and empty texts have no terms and are scored like any other; texts of any length are
-    read whole. Repeated rows get the same score. Without labelled rows the score is 0.5, with
-    one label only it is that label. Other columns are not read.
+    read whole. Repeated rows get the same score: of labelled rows at equal cosines (to six
+    places) those with the smaller ids vote. Without labelled rows the score is 0.5, with one
+    label only it is that label. Other columns are not read. An empty table gives an empty table.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

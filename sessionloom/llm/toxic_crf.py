@@ -13,6 +13,7 @@ no slower per token than many short ones. A document's first token forgets what
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -30,6 +31,7 @@ SEED_Z = 3.0  # standard deviations of a marking key's log-odds ratio, at least
 SEED_ODDS = 2.5  # and the ratio itself
 WINDOW = 12  # tokens on either side
 WINDOWS_A_DOCUMENT = 4
+NEAR_COPY = 3  # of four minimum hashes that a near copy shares with one kept document
 FEATURES = 1 << 16
 ROUNDS = 80
 THRESHOLD = 0.5
@@ -194,13 +196,14 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "signs"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    seen: set[tuple[int, int]] = set()
+    holders: dict[tuple[int, int], list[int]] = {}  # of the kept documents, by hash
     kept = []
     for row in sorted(sample.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, signs array<bigint>").collect()):
-        signs = set(enumerate(row.signs))
-        if not signs & seen:
+        agree = Counter(i for sign in enumerate(row.signs) for i in holders.get(sign, ()))
+        if max(agree.values(), default=0) < NEAR_COPY:
+            for sign in enumerate(row.signs):
+                holders.setdefault(sign, []).append(len(kept))
             kept.append(row.doc_id)
-        seen |= signs
     return sample.where(F.col("doc_id").isin(kept))
 
 
@@ -231,7 +234,8 @@ def _windows(sample: DataFrame, seeds: set[str]) -> tuple[np.ndarray, np.ndarray
                 if not tokens:
                     continue
                 marked = [i for i, t in enumerate(tokens) if not seeds.isdisjoint(_keys(_word(t)))]
-                middle = marked[:WINDOWS_A_DOCUMENT] if y else [*marked[:1], *(crc32(f"{k}{text}".encode()) % len(tokens) for k in range(3))]
+                here = crc32(text.encode())
+                middle = sorted(marked, key=lambda i: (crc32(b"%d" % i, here), i))[:WINDOWS_A_DOCUMENT] if y else [*marked[:1], *(crc32(f"{k}{text}".encode()) % len(tokens) for k in range(3))]
                 marks, rows, tags = set(marked), [], []
                 for c in middle:
                     start = max(0, c - WINDOW)

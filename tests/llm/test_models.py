@@ -114,3 +114,70 @@ def test_marginals_equal_brute_force(block):
         assert got[at : at + n] == pytest.approx(weights[:, 1] / weights.sum(1))
         at += n
     assert len(toxic_crf.chain_marginals(np.zeros(0), np.zeros(0, bool), move)) == 0
+
+
+def test_votes_equal_brute_force_and_do_not_hang_on_the_block(spark, docs):
+    """idf, projection and vote against dense matrices; labelled neighbours at one cosine, the same text in blocks of several sizes."""
+    rng = random.Random(9)
+    rows, labels = corpus(260, junk)
+    rows += [(1_000 + i, "twice the same words here.") for i in range(21)]
+    labels += [(1_000 + i, i % 2) for i in range(21)]
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    model = quality_knn.fit(docs(rows), marks, rank=8)
+    texts = [t.encode() for _, t in rows] + [b"", "é 漢字 ".encode() * 50]
+    counts = np.zeros((len(texts), quality_knn.SHAPES + quality_knn.WORDS))
+    twice = np.zeros(len(texts))
+    for i, t in enumerate(texts):
+        columns, values, twice[i] = quality_knn.terms_of(t)
+        counts[i, columns] = values
+    x = np.log1p(counts) * model.idf
+    for part in (slice(0, quality_knn.SHAPES), slice(quality_knn.SHAPES, None)):
+        x[:, part] /= np.maximum(np.linalg.norm(x[:, part], axis=1, keepdims=True), 1e-12)
+    angle = np.pi / 2 * np.sqrt(twice)
+    x = np.column_stack((x, np.sin(angle), np.cos(angle)))
+    found = x @ model.axes
+    found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+    cosine = np.round(found @ model.vectors.T.astype(float), 6)
+    want = []
+    for c in cosine:
+        near = sorted(range(len(c)), key=lambda j: (-c[j], j))[: model.neighbours]
+        vote = np.maximum(c[near], 1e-3) ** quality_knn.SHARPNESS * model.weight[near]
+        want.append((vote * model.label[near]).sum() / vote.sum())
+    terms = [quality_knn.terms_of(t) for t in texts]
+    got = model.score(quality_knn.Terms.of(terms))
+    assert np.mean(np.abs(got - want) < 1e-5) > 0.98  # cosines are summed in single precision, so a few ties part
+    tied = terms[270]
+    alone = model.score(quality_knn.Terms.of([tied]))[0]
+    for size in (2, 7, 64, 256):
+        for place in (0, size - 1):
+            block = [rng.choice(terms) for _ in range(size)]
+            block[place] = tied
+            assert model.score(quality_knn.Terms.of(block))[place] == alone
+
+
+def test_axes_span_the_first_singular_vectors(spark, docs):
+    rows, labels = corpus(200, junk)
+    terms = quality_knn.Terms.of([quality_knn.terms_of(t.encode()) for _, t in rows])
+    x = terms.weighted(np.ones(quality_knn.SHAPES + quality_knn.WORDS, np.float32))
+    height = quality_knn.SHAPES + quality_knn.WORDS + 2
+    dense = x.times(np.eye(height, dtype=np.float32))
+    axes = quality_knn._axes(x, height, 3)
+    v = np.linalg.svd(dense, full_matrices=False)[2][:3].T
+    assert np.linalg.svd(axes.T @ v)[1].min() > 0.999
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = ("Überall words, words und 漢字漢字 " * 40).encode()
+    whole = quality_knn.terms_of(text)
+    monkeypatch.setattr(quality_knn, "_PIECE", 37)
+    parts = quality_knn.terms_of(text)
+    assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_shared_passages_are_no_near_copies(spark, docs):
+    rng = random.Random(2)
+    passage = " ".join(f"shared{k}" for k in range(20))
+    own = [" ".join(f"w{rng.random()}" for _ in range(40)) for _ in range(30)]
+    rows = [(i, f"{passage} {t}") for i, t in enumerate(own)] + [(100 + i, f"{passage} {t} more") for i, t in enumerate(own)]
+    kept = {r.doc_id for r in toxic_crf._one_of_copies(docs(rows)).collect()}
+    assert len(kept & set(range(30))) == 30 and len(kept) <= 40
