@@ -1,10 +1,24 @@
 """Connected components of an edge table by alternating large-star and small-star steps."""
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from sessionloom.sources.scratch import save_scratch
 
 
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after joining the classes of a and b; a label is the smallest number of its class."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sessionloom.llm.common import packed, ship
+from sessionloom.llm.common import mix64, packed, ship
 from sessionloom.sources.scratch import save_scratch
 
 SHINGLE = 5
@@ -35,12 +35,6 @@ _WORDS = re.compile(r"\w+")
 _SIEVE = 22  # bits of the first look-up
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(words: list[str], size: int = SHINGLE) -> np.ndarray:
     """Hash of every shingle; equal within one process only. Fewer words are one shingle, no words none."""
     if not words:
@@ -50,7 +44,7 @@ def shingles(words: list[str], size: int = SHINGLE) -> np.ndarray:
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + w[k : len(words) - size + 1 + k]
-    return _mix(out)
+    return mix64(out)
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionloom.llm.common import packed, ship, tasks_for
-from sessionloom.llm.components import connected_components
+from sessionloom.llm.components import connected_components, merge_labels
 from sessionloom.sources.scratch import save_scratch
 
 BITS = 64
@@ -162,19 +162,6 @@ class GrayTree:
             yield at + q, node
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after joining the classes of a and b; a label is the smallest number of its class."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return label
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label != label[label]).any():
-            label = label[label]
-
-
 def _links(radius: int):
     blocks = _blocks(radius)
 
@@ -190,7 +177,7 @@ def _links(radius: int):
             after = np.concatenate((np.arange(len(codes)), np.full(len(sent), -1)))
             label = np.arange(len(both))
             for a, b in GrayTree(codes, width).search(both, radius, after):
-                label = _merge(label, a, b)
+                label = merge_labels(label, a, b)
             a = np.flatnonzero(label != np.arange(len(label)))
             fps = _rotate_back(both, by)
             out.append(pd.DataFrame({"a": fps[a], "b": fps[label[a]]}))
