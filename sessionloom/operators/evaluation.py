@@ -22,7 +22,7 @@ def split_leave_one_out(
     A session keeps at least one training item, so two items give no validation and a
     single one trains.
     """
-    hot = skew.find_hot(df, "user_id", order[0], hot)
+    hot = skew.find_hot(df, "user_id", hot)
     newest = Window.partitionBy("user_id").orderBy(*[F.col(c).desc() for c in order])
 
     def label(ranked):
@@ -39,7 +39,7 @@ def split_leave_one_out(
 
     if hot is None:
         return plain(df)
-    usual, sliced = skew.split_hot(df, hot, "user_id", order[0])
+    usual, sliced = skew.split_hot(df, hot, "user_id", order)
     long = skew.with_position_sliced(sliced, "user_id", order, "_back", descending=True)
     return plain(usual).unionByName(label(long.withColumn("_older", F.lit(True))))
 

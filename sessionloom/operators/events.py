@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionloom.functions import clean
-from sessionloom.operators.keys import dense_key
+from sessionloom.operators.keys import dense_keys
 from sessionloom.operators.skew import left_lookup
 from sessionloom.sources.scratch import save_scratch
 
@@ -120,11 +120,6 @@ def apply_identities(
     return filled.join(known, "listing_id", "left_semi").select(*filled.columns)
 
 
-def _prefixed(df: DataFrame, source: str, prefix: str, name: str) -> DataFrame:
-    keys = dense_key(df, source, "_n")
-    return keys.select(source, F.concat(F.lit(prefix), F.col("_n")).alias(name))
-
-
 def numeric_keys(
     events: DataFrame,
     user: str = "user_id",
@@ -133,19 +128,22 @@ def numeric_keys(
 ) -> DataFrame:
     """Add dense ``U_``/``A_``/``S_`` keys and ``unique_user_id`` (user, else anonymous).
 
-    The three keys are put together on the distinct id triples, about one per session,
-    so the wide events are shuffled once and not once per key. The triples are written
-    once, because each numbering reads them.
+    The three keys are numbered by one sort and put together on the distinct id triples,
+    about one per session, so the wide events are shuffled once and not once per key. The
+    triples are written once, because the numbering and the lookups read them. The ids must
+    be of one type.
     """
     ids = [user, anonymous, session]
     triples = save_scratch(events.select(*ids).distinct(), "ids")
+    numbers = dense_keys(triples, ids, "_n")
     keyed = triples
     for source, prefix, name in (
         (user, "U_", "user_logged_numeric_id"),
         (anonymous, "A_", "anonymous_numeric_id"),
         (session, "S_", "session_numeric_id"),
     ):
-        keyed = left_lookup(keyed, _prefixed(triples, source, prefix, name), source)
+        named = numbers[source].select(source, F.concat(F.lit(prefix), F.col("_n")).alias(name))
+        keyed = left_lookup(keyed, named, source)
     right = keyed.withColumnsRenamed({c: f"_{c}" for c in ids})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
     return (

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sessionloom.functions.hashing import draw_unit
 from sessionloom.operators import skew
+from sessionloom.operators.inner_products import largest_products
 from sessionloom.operators.keys import dense_key
 from sessionloom.operators.ranked_lists import best_unseen, rank_lists
 from sessionloom.operators.sampling import draw_items
@@ -293,8 +294,9 @@ class SimilarityMarkov:
 class Factorization:
     """Implicit-feedback matrix factorisation (ALS).
 
-    A session is a user of the model, so only sessions with training rows get scores.
-    It scores given candidates only, for the sampled protocol.
+    A session is a user of the model, so only sessions with training rows get scores. The
+    whole catalogue is ranked by a search for the largest inner products, which leaves a
+    session's search as soon as no further item can be among its best.
     """
 
     def __init__(self, train: DataFrame, rank: int = 64, iterations: int = 10, seed: int = 42):
@@ -320,10 +322,17 @@ class Factorization:
         )
 
     def top(self, history, k):
-        raise ValueError(
-            "ranking the whole catalogue by factors pairs every session with every item; "
-            "score sampled candidates instead"
+        seen = seen_items(history)
+        # as many more as the session has seen, which are left out afterwards
+        asked = seen.groupBy("user_id").agg((F.count("*") + k).alias("wanted")).join(self.users, "user_id")
+        queries = asked.join(self.model.userFactors, F.col("_user") == F.col("id")).select(
+            F.col("user_id").alias("query"), F.col("features").alias("vector"), "wanted"
+        )
+        items = self.model.itemFactors.join(self.items, F.col("_item") == F.col("id")).select(
+            F.col("item_id").alias("item"), F.col("features").alias("vector")
         )
+        found = largest_products(queries, items).select(F.col("query").alias("user_id"), F.col("item").alias("item_id"), "score")
+        return top_k(unseen(found, history), k)
 
 
 @dataclass

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sessionloom.functions.labels import share
 from sessionloom.operators import skew
 from sessionloom.sources.readers import scan_window
+from sessionloom.sources.scratch import save_scratch
 
 # Interaction event types of the session stage.
 SESSION_EVENT_TYPES = (
@@ -139,6 +140,34 @@ def min_support(df: DataFrame, support: int = 5, item: str = ITEM) -> DataFrame:
     return df.join(frequent.select(item), item, "left_semi").select(*df.columns)
 
 
+def stable_core(
+    df: DataFrame, min_length: int = 2, support: int = 5, session: str = SESSION, item: str = ITEM
+) -> DataFrame:
+    """The largest part of ``df`` where every session has ``min_length`` rows and every item ``support``.
+
+    Dropping a short session may make an item rare and the other way round, so both are
+    peeled off in rounds until nothing changes. The counted (session, item) pairs are
+    written once and stay; a round looks up only the pairs of the sessions and items that
+    have just fallen out, and takes them off the counts of those that remain. Rows without
+    session or item belong to no core. Two numbers per round reach the driver.
+    """
+    pairs = save_scratch(df.dropna(subset=[session, item]).groupBy(session, item).agg(F.count("*").alias("_w")), "pairs")
+    alive = {c: save_scratch(pairs.groupBy(c).agg(F.sum("_w").alias("_n")), "alive") for c in (session, item)}
+    least = {session: min_length, item: support}
+    while True:
+        gone = {c: alive[c].where(F.col("_n") < least[c]).select(c) for c in alive}
+        if all(g.isEmpty() for g in gone.values()):
+            break
+        after = {}
+        for c, other in ((session, item), (item, session)):
+            lost = pairs.join(gone[other], other, "left_semi").groupBy(c).agg(F.sum("_w").alias("_lost"))
+            rest = alive[c].where(F.col("_n") >= least[c]).join(lost, c, "left")
+            after[c] = save_scratch(rest.select(c, (F.col("_n") - F.coalesce("_lost", F.lit(0))).alias("_n")), "alive")
+        alive = after
+    core = df.join(alive[item].select(item), item, "left_semi").join(alive[session].select(session), session, "left_semi")
+    return core.select(*df.columns)
+
+
 def sessions_from(
     interactions: DataFrame,
     min_length: int = 2,
@@ -146,16 +175,18 @@ def sessions_from(
     support: int = 5,
     order: Sequence[str] = ORDER,
     hot: DataFrame | str | None = skew.AUTO,
+    until_stable: bool = False,
 ) -> DataFrame:
     """Repeats out, length limits, rare items out, length limits again (one pass).
 
     The repeat removal and the first length limit share one shuffle by session. Hot
     sessions take the sliced path up to that limit, which makes every session short.
+    With ``until_stable`` rare items and short sessions go until none is left.
     """
-    hot = skew.find_hot(interactions, SESSION, order[0], hot)
+    hot = skew.find_hot(interactions, SESSION, hot)
     usual = interactions
     if hot is not None:
-        usual, sliced = skew.split_hot(interactions, hot, SESSION, order[0])
+        usual, sliced = skew.split_hot(interactions, hot, SESSION, order)
     limited = limit_sessions(
         drop_repeats(usual, order=order, hot=None), min_length, max_length, order=order
     )
@@ -163,6 +194,8 @@ def sessions_from(
         tagged = skew.with_previous_sliced(sliced, SESSION, order, ITEM, "_previous")
         tidy = tagged.where(_changed(ITEM)).drop("_previous")
         limited = limited.unionByName(limit_sessions(tidy, min_length, max_length, order=order))
+    if until_stable:
+        return stable_core(limited, min_length, support)
     return limit_sessions(min_support(limited, support), min_length, max_length, order=order)
 
 
@@ -187,9 +220,7 @@ def build_sessions(
     on the cheap event predicates, before the join to the listings.
     """
     rows = interaction_events(in_window(events, start, end, business), types)
-    hot = skew.hot_keys(
-        rows.select(F.col("session_id").alias(SESSION), *order), SESSION, order[0]
-    )
+    hot = skew.hot_keys(rows.select(F.col("session_id").alias(SESSION)), SESSION)
     if listings is not None:
         rows = known_items(rows, listings, where, item=item)
     rows = to_interactions(rows, item)

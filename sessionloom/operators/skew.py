@@ -1,15 +1,18 @@
 """Ordered per-key work that stays correct and parallel when one key is huge.
 
 A window puts each key into one task. Most keys (sessions) are tiny, so that is the
-right plan for them. The few keys that hold a large share of all rows are cut into
-consecutive time slices; each slice is windowed on its own and a small per-slice
-table carries the last value, or the running count, from slice to slice.
-
-Hot keys are looked up first by one aggregate over the key and time columns. They are
-the largest MAX_HOT_KEYS keys above HOT_FLOOR rows, so any other key has either at most
-HOT_FLOOR rows or less than 1/MAX_HOT_KEYS of all rows. There are at most
-(SLICES + 1) * MAX_HOT_KEYS slices, whatever the size of the data, so the key table and
-the carry tables are safe to broadcast. With no hot key the plan is the plain window.
+right plan for them. The rows of the few keys that hold a large share of all rows are
+range-sorted by key and the whole order (time, then event id), which cuts them into
+slices of about equal numbers of rows, whatever their times are: a burst in one instant
+is cut as well. Each slice is windowed on its own and a small per-slice table carries the
+last value, or the running count, from slice to slice. The sorted rows are written once,
+so that every step sees the same slices after a lost executor.
+
+Hot keys are looked up first by one aggregate over the key column. They are the largest
+MAX_HOT_KEYS keys above HOT_FLOOR rows, so any other key has either at most HOT_FLOOR rows
+or less than 1/MAX_HOT_KEYS of all rows. There are at most SLICES * MAX_HOT_KEYS slices
+and MAX_HOT_KEYS cut keys more, whatever the size of the data, so the key table and the
+carry tables are safe to broadcast. With no hot key the plan is the plain window.
 """
 
 from collections.abc import Sequence
@@ -17,6 +20,8 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sessionloom.sources.scratch import save_scratch
+
 MAX_HOT_KEYS = 10_000
 HOT_FLOOR = 1_000_000
 SLICES = 4
@@ -24,14 +29,13 @@ SLICE = "_slice"
 AUTO = "auto"
 
 
-def hot_keys(df: DataFrame, key: str, time: str, floor: int | None = None) -> DataFrame | None:
-    """Hot keys with their first time, slice width and number of slices; None without any."""
+def hot_keys(df: DataFrame, key: str, floor: int | None = None) -> DataFrame | None:
+    """Hot keys with the rows and slices of each; None without any."""
     floor = HOT_FLOOR if floor is None else floor
-    at = F.col(time).cast("double")
     largest = (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))
+        .agg(F.count("*").alias("n"))
         .where(F.col("n") > floor)
         .orderBy(F.col("n").desc(), key)
         .limit(MAX_HOT_KEYS)
@@ -40,31 +44,25 @@ def hot_keys(df: DataFrame, key: str, time: str, floor: int | None = None) -> Da
     if not largest:
         return None
     unit = max(floor, sum(r.n for r in largest) / MAX_HOT_KEYS) / SLICES
-    rows = []
-    for r in largest:
-        parts = ceil(r.n / unit)
-        rows.append((r[key], r.low, (r.high - r.low) / parts, parts))
+    rows = [(r[key], r.n, ceil(r.n / unit)) for r in largest]
     kind = df.schema[key].dataType.simpleString()
-    return df.sparkSession.createDataFrame(
-        rows, f"`{key}` {kind}, low double, width double, parts int"
-    )
+    return df.sparkSession.createDataFrame(rows, f"`{key}` {kind}, n bigint, parts int")
 
 
-def find_hot(df: DataFrame, key: str, time: str, hot: DataFrame | str | None) -> DataFrame | None:
+def find_hot(df: DataFrame, key: str, hot: DataFrame | str | None) -> DataFrame | None:
     """``hot`` as given, or looked up in ``df`` when it is ``"auto"``."""
-    return hot_keys(df, key, time) if isinstance(hot, str) else hot
+    return hot_keys(df, key) if isinstance(hot, str) else hot
 
 
 def split_hot(
-    df: DataFrame, hot: DataFrame, key: str, time: str
+    df: DataFrame, hot: DataFrame, key: str, order: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys with their slice number)."""
-    small = F.broadcast(hot)
-    usual = df.join(small.select(key), key, "left_anti").select(*df.columns)
-    step = F.floor(F.try_divide(F.col(time).cast("double") - F.col("low"), F.col("width")))
-    piece = F.least(F.coalesce(step, F.lit(0)), F.col("parts") - 1).cast("int")
-    sliced = df.join(small, key).select(*df.columns, piece.alias(SLICE))
-    return usual, sliced
+    """(rows of ordinary keys, rows of hot keys with their slice number, which follows ``order``)."""
+    small = F.broadcast(hot.select(key))
+    usual = df.join(small, key, "left_anti").select(*df.columns)
+    slices = hot.agg(F.sum("parts")).first()[0]
+    ranged = df.join(small, key, "left_semi").repartitionByRange(slices, key, *order)
+    return usual, save_scratch(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
 def previous_in(key: str, order: Sequence[str], value: str) -> Column:
@@ -125,10 +123,10 @@ def with_previous(
     hot: DataFrame | str | None = AUTO,
 ) -> DataFrame:
     """Add the previous ``value`` of the key. Pass ``hot=None`` when keys are known to be short."""
-    hot = find_hot(df, key, order[0], hot)
+    hot = find_hot(df, key, hot)
     if hot is None:
         return df.withColumn(name, previous_in(key, order, value))
-    usual, sliced = split_hot(df, hot, key, order[0])
+    usual, sliced = split_hot(df, hot, key, order)
     return usual.withColumn(name, previous_in(key, order, value)).unionByName(
         with_previous_sliced(sliced, key, order, value, name)
     )
@@ -145,10 +143,10 @@ def with_position(
     """Add the 1-based position of each row inside its key. ``hot`` as in `with_previous`."""
     ordered = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     plain = F.row_number().over(Window.partitionBy(key).orderBy(*ordered))
-    hot = find_hot(df, key, order[0], hot)
+    hot = find_hot(df, key, hot)
     if hot is None:
         return df.withColumn(name, plain)
-    usual, sliced = split_hot(df, hot, key, order[0])
+    usual, sliced = split_hot(df, hot, key, order)
     return usual.withColumn(name, plain).unionByName(
         with_position_sliced(sliced, key, order, name, descending)
     )

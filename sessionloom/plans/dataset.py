@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sessionloom.operators.sessions import build_sessions
 from sessionloom.operators.stats import dataset_stats
 from sessionloom.sources import readers, writers
+from sessionloom.sources.cached import cached_table
 
 
 def build_dataset(
@@ -38,3 +39,16 @@ def build_dataset(
     writers.write_inter(saved, f"{output}/{name}/{name}.inter")
     writers.write_browse_sessions(saved, f"{output}/sessions_for_api.parquet")
     return dataset_stats(saved)
+
+
+def cached_sessions(
+    spark: SparkSession, folder: str, events_path: str, listings_path: str | None = None, **limits
+) -> DataFrame:
+    """Sessions of `build_sessions` from ``folder``, built and saved there if its inputs or limits are new."""
+    limits = {"start": "2024-03-01", "end": "2024-04-01", **limits}
+
+    def build():
+        listings = readers.read_merged(spark, listings_path) if listings_path else None
+        return build_sessions(readers.scan_window(spark, events_path), listings=listings, **limits)
+
+    return cached_table(spark, folder, [p for p in (events_path, listings_path) if p], limits, build)

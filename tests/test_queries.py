@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = (
     "build_sessions", "session_funnel", "canonical_id", "item_id_mapping", "numeric_keys", "resolve_identities_mode",
     "session_percentiles", "cluster_cv_high", "session_list", "split_loo", "negatives_100", "benchmark_models",
-    "map_points", "merge_runs", "metric_quartiles",
+    "map_points", "merge_runs", "metric_quartiles", "stable_core",
 )
 CHECKED = list(ORACLE) if os.environ.get("ALL_QUERIES") else SOME
 
@@ -51,7 +51,7 @@ def test_query_equals_oracle(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ORACLE) == {"score_als"}  # held against brute force in test_scoring
 
 
 @pytest.mark.parametrize("name", ["build_sessions", "score_itemknn", "score_pop", "rec_distance", "negatives_100"])

@@ -3,10 +3,11 @@ import random
 from collections import Counter, defaultdict
 from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import evaluation, scorers, tuning
+from sessionloom.operators import evaluation, inner_products, scorers, tuning
 from sessionloom.operators.sampling import STEP, draw_items
 from sessionloom.plans.benchmark import benchmark_table
 from tests.conftest import rows
@@ -199,14 +200,65 @@ def test_a_failing_model_is_a_row(spark, frame):
     assert table.where("model = 'Pop'").count() == 12
 
 
-def test_als_scores_given_candidates(spark, frame):
+def test_als_under_the_sampled_protocol(spark, frame):
     split = evaluation.split_leave_one_out(frame)
     table = evaluation.evaluate(
         lambda train: scorers.Factorization(train, rank=4, iterations=2), split, "ALS", mode="sampled", n_negatives=10
     )
     assert all(0 <= r.value <= 1 for r in table.collect())
-    with pytest.raises(ValueError):
-        scorers.Factorization(frame, rank=2, iterations=1).top(frame, 3)
+
+
+def test_als_ranks_equal_brute_force_from_the_factors(spark, clicks, frame):
+    """Ranks of the test items among sampled ones, and the ranking of the whole catalogue."""
+    split = evaluation.split_leave_one_out(frame)
+    train, history, targets = evaluation.evaluation_parts(split)
+    model = scorers.Factorization(train, rank=4, iterations=3)
+    users, items = ({r[0]: r[1] for r in t.collect()} for t in (model.users, model.items))
+    factors = [{r.id: np.array(r.features) for r in t.collect()} for t in (model.model.userFactors, model.model.itemFactors)]
+
+    def product(u, i):
+        return float(factors[0][users[u]] @ factors[1][items[i]])
+
+    drawn = evaluation.negatives(targets, history, split, 10)
+    offered = defaultdict(list)
+    for r in targets.union(drawn.select("user_id", "item_id")).collect():
+        if r.user_id in users and r.item_id in items:
+            offered[r.user_id].append((-round(product(r.user_id, r.item_id), 5), r.item_id))
+    got = evaluation.ranks_sampled(model, history, targets, drawn, 11).collect()
+    wrong = 0
+    for r in got:
+        order = [i for _, i in sorted(offered[r.user_id])]
+        want = order.index(r.item_id) + 1 if r.item_id in order else None
+        wrong += want != r["rank"]
+    assert len(got) == targets.count() and wrong <= 1  # predictions are of single precision
+
+    seen = histories([(r.user_id, r.item_id, r.event_ts, r.event_id) for r in history.collect()])
+    want = {}
+    for u in users:
+        order = sorted((-round(product(u, i), 9), i) for i in items if i not in seen[u])[:3]
+        want[u] = [i for _, i in order]
+    found = defaultdict(list)
+    for r in model.top(history, 3).orderBy("user_id", "rank").collect():
+        found[r.user_id].append(r.item_id)
+    assert dict(found) == {u: x for u, x in want.items() if x}
+
+
+@pytest.mark.parametrize("blocks", [(4096, 256), (3, 2)])
+def test_largest_products_equal_brute_force_and_stop_early(spark, blocks):
+    draw = np.random.default_rng(4)
+    items = [(i, (draw.integers(-3, 4, 5) * (10.0 if i < 20 else 0.1)).tolist()) for i in range(200)]
+    queries = [(f"q{i}", draw.integers(-3, 4, 5).astype(float).tolist(), int(draw.integers(0, 12))) for i in range(30)]
+    queries += [("none", [0.0] * 5, 4), ("all", [1.0] * 5, 300)]
+    got = defaultdict(list)
+    found = inner_products.largest_products(
+        spark.createDataFrame(queries, "query string, vector array<double>, wanted int"),
+        spark.createDataFrame(items, "item bigint, vector array<double>").repartition(3), *blocks,
+    )
+    for r in found.collect():
+        got[r.query].append((-r.score, r.item))
+    for name, q, wanted in queries:
+        want = sorted((-round(float(np.dot(q, v)), 9) + 0.0, i) for i, v in items)[:wanted]
+        assert sorted((s + 0.0, i) for s, i in got[name]) == want
 
 
 def test_grid_equals_single_evaluations(spark, frame):

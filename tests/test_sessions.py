@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ def skewed(spark, seed, n=3000):
 @pytest.mark.parametrize("floor", [20, 300])
 def test_sliced_sessions_equal_plain_windows(spark, floor):
     df = skewed(spark, floor)
-    hot = skew.hot_keys(df, "user_id", "event_ts", floor=floor)
+    hot = skew.hot_keys(df, "user_id", floor=floor)
     assert "hot" in {r.user_id for r in hot.collect()}
     order = ("event_ts", "event_id")
     for descending in (False, True):
@@ -100,18 +101,48 @@ def test_sliced_sessions_equal_plain_windows(spark, floor):
 
 def test_sliced_lag_keeps_null_values(spark):
     df = events(spark, [("hot", None if i % 3 else i % 2, i * 1000, i) for i in range(60)])
-    hot = skew.hot_keys(df, "user_id", "event_ts", floor=10)
+    hot = skew.hot_keys(df, "user_id", floor=10)
     order = ("event_ts", "event_id")
     plain = skew.with_previous(df, "user_id", order, "item_id", "prev", hot=None).orderBy("event_id")
     sliced = skew.with_previous(df, "user_id", order, "item_id", "prev", hot=hot).orderBy("event_id")
     assert plain.collect() == sliced.collect()
 
 
+def test_a_burst_in_one_instant_is_cut_too(spark):
+    df = events(spark, [("hot", i % 3, 7_000, i) for i in range(20_000)] + [("u", 1, 7_000, 30_000), ("u", 1, 7_000, 30_001)])
+    hot = skew.hot_keys(df, "user_id", floor=4_000)
+    order = ("event_ts", "event_id")
+    _, sliced = skew.split_hot(df, hot, "user_id", order)
+    sizes = [r["count"] for r in sliced.groupBy(skew.SLICE).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 4_000
+    assert rows(skew.with_position(df, "user_id", order, "at", hot=None)) == rows(skew.with_position(df, "user_id", order, "at", hot=hot))
+    assert rows(sessions.drop_repeats(df, hot=None)) == rows(sessions.drop_repeats(df, hot=hot))
+
+
+def test_core_is_peeled_to_its_fixed_point(spark):
+    rng = random.Random(3)
+    data = [(f"u{rng.randrange(60)}", rng.randrange(40), i, i) for i in range(260)] + [(f"v{k}", 100 + k + j, k, 1_000 + 2 * k + j) for k in range(12) for j in (0, 1)]
+    df = events(spark, data)
+    want = [(u, i, e) for u, i, _, e in data]
+    while True:
+        users, items = Counter(u for u, _, _ in want), Counter(i for _, i, _ in want)
+        kept = [(u, i, e) for u, i, e in want if users[u] >= 3 and items[i] >= 4]
+        if len(kept) == len(want):
+            break
+        want = kept
+    got = sessions.stable_core(df, 3, 4)
+    assert got.columns == df.columns
+    assert rows(got, "user_id", "item_id", "event_id") == sorted(want) and want
+    assert rows(sessions.stable_core(df, 2, 2), "event_id")  # a chain that goes link by link
+    assert sessions.stable_core(df, 2, 2).where("user_id like 'v%'").count() == 0
+    assert sessions.stable_core(df, 50, 50).count() == 0
+
+
 def test_hot_key_table_stays_small(spark):
     df = skewed(spark, 1)
-    hot = skew.hot_keys(df, "user_id", "event_ts", floor=100).collect()
+    hot = skew.hot_keys(df, "user_id", floor=100).collect()
     assert len(hot) == 1 and hot[0].parts <= skew.SLICES * 3000 / 100
-    assert skew.hot_keys(df, "user_id", "event_ts") is None
+    assert skew.hot_keys(df, "user_id") is None
 
 
 def test_no_adjacent_repeats_and_lengths_in_range(spark):

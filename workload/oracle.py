@@ -320,6 +320,21 @@ oracle(
     f"""SELECT {SHORT} FROM inter WHERE item_id IN
     (SELECT item_id FROM inter GROUP BY item_id HAVING count(*) >= 20)""",
 )
+ORACLE["stable_core"] = f"""WITH RECURSIVE {sql("SELECT * FROM inter").removeprefix("WITH ").rpartition("SELECT * FROM inter")[0]},
+    peeled AS (
+        SELECT 0 AS step, {SHORT} FROM inter WHERE user_id IS NOT NULL AND item_id IS NOT NULL
+        UNION ALL
+        SELECT step, {SHORT} FROM (
+            SELECT *, count(*) FILTER (NOT fits) OVER () AS gone FROM (
+                SELECT step + 1 AS step, {SHORT},
+                       count(*) OVER (PARTITION BY user_id) >= 2 AND count(*) OVER (PARTITION BY item_id) >= 20 AS fits
+                FROM peeled))
+        WHERE fits AND gone > 0
+    ), final AS (
+        SELECT {SHORT}, count(*) OVER (PARTITION BY user_id) >= 2 AND count(*) OVER (PARTITION BY item_id) >= 20 AS fits
+        FROM peeled WHERE step = (SELECT max(step) FROM peeled)
+    )
+SELECT {SHORT} FROM final WHERE fits"""
 oracle("build_sessions", "SELECT user_id, item_id, timestamp FROM f_fin")
 
 
@@ -623,7 +638,6 @@ def ranks(name: str, ranked: str) -> None:
 
 
 part("cand", "SELECT user_id, item_id FROM target UNION ALL SELECT user_id, item_id FROM neg")
-oracle("score_als", "SELECT user_id, item_id, true AS scored FROM cand WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)")
 part("none", "SELECT 0 AS user_id, 0 AS item_id WHERE false")
 part("pop_cand", "SELECT user_id, item_id, score FROM cand JOIN pop USING (item_id)")
 best("pop_drawn", "pop_cand", "none", 20)

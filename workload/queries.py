@@ -306,6 +306,14 @@ def rare_item_filter(spark, d):
     )
 
 
+@query
+def stable_core(spark, d):
+    """Sessions and items peeled to the fixed point of both limits."""
+    return sessions.stable_core(interactions(spark, d), MIN_LENGTH, SUPPORT).select(
+        "user_id", "item_id", "timestamp", "event_id"
+    )
+
+
 @query
 def build_sessions(spark, d):
     """Flagship: window, business, known items, event types, repeats, lengths, support."""
@@ -540,13 +548,11 @@ def score_fossil_counts(spark, d):
 
 @query
 def score_als(spark, d):
-    """The test and sampled items that matrix factorisation scores, with its default parameters."""
+    """Rank of each session's test item among 100 sampled ones by matrix factorisation with its default parameters."""
     split = split_sessions(spark, d)
     train, history, targets = evaluation.evaluation_parts(split)
     drawn = evaluation.negatives(targets, history, split, 100, SEED)
-    candidates = targets.select("user_id", "item_id").unionByName(drawn.select("user_id", "item_id"))
-    scored = scorers.Factorization(train).score(history, candidates)
-    return scored.select("user_id", "item_id", F.isnotnull("score").alias("scored"))
+    return evaluation.ranks_sampled(scorers.Factorization(train), history, targets, drawn, 101)
 
 
 def _ranks(build, spark, d):
