@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionloom.functions.labels import metric_cutoff, metric_name
-from sessionloom.operators.keys import global_position
+from sessionloom.operators.quantiles import exact_quantiles
 
 
 def metric_columns(runs: DataFrame) -> list[str]:
@@ -94,26 +94,10 @@ def metric_means(runs: DataFrame) -> DataFrame:
 def metric_quartiles(
     runs: DataFrame, probabilities: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)
 ) -> DataFrame:
-    """Exact quantiles of every metric, linear between neighbours; missing values dropped.
-
-    Values get their place in one distributed sort, so no metric is gathered in a task;
-    only the places next to a quantile are kept.
-    """
-    values = long_metrics(runs).where(F.col("value").isNotNull()).select("name", "value")
-    placed = global_position(values, ["name", "value"], "_at")
-    spans = placed.groupBy("name").agg(F.min("_at").alias("_from"), F.count("*").alias("n"))
-    index = F.col("_at") - F.col("_from")
-    picks = []
-    for p in probabilities:
-        exact = F.lit(p) * (F.col("n") - 1)
-        low = F.floor(exact)
-        weight = F.when(index == low, F.lit(1.0) - (exact - low)).when(
-            index == low + 1, exact - low
-        )
-        picks.append(F.sum(weight * F.col("value")).alias(f"p{round(p * 100)}"))
-    return (
-        placed.join(F.broadcast(spans), "name")
-        .groupBy("name", "n")
-        .agg(*picks)
-        .withColumnRenamed("name", "metric")
+    """Exact quantiles of every metric, linear between neighbours; missing values dropped."""
+    found = exact_quantiles(long_metrics(runs), ["name"], "value", probabilities)
+    return found.select(
+        F.col("name").alias("metric"),
+        "n",
+        *[F.col("quantiles")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(probabilities)],
     )

@@ -4,6 +4,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sessionloom.operators.quantiles import exact_quantiles
+from sessionloom.sources.scratch import save_scratch
+
 PROBABILITIES = (0.25, 0.5, 0.75, 0.9, 0.99)
 CDF_LEVELS = (0.25, 0.5, 0.75, 0.9)
 
@@ -45,35 +48,32 @@ def describe_sessions(
 ) -> DataFrame:
     """count, mean, std, min, percentiles and max for all, anonymous and logged sessions.
 
-    Sessions are first counted per value, so what reaches the percentile is one row per
-    distinct session length and not one per session.
+    Sessions are first counted per value and the counts are written, so what is read again
+    is one row per distinct value and not one per session. Deviations are summed from the
+    mean, so large values with a small spread keep it.
     """
-    tally = stats.groupBy(_user_type().alias("kind"), F.col(value).alias("v")).agg(
+    tally = stats.where(F.col(value).isNotNull()).groupBy(_user_type().alias("kind"), F.col(value).alias("v")).agg(
         F.count("*").alias("n")
     )
+    tally = save_scratch(tally, "tally")
     grouped = tally.withColumn("user_type", F.explode(F.array(F.lit("all"), "kind")))
     n, v = F.col("n"), F.col("v").cast("double")
-    total, first, second = F.sum("n"), F.sum(n * v), F.sum(n * v * v)
-    spread = F.try_divide(second - first * first / total, total - 1)
-    return (
-        grouped.groupBy("user_type")
-        .agg(
-            total.alias("count"),
-            (first / total).alias("mean"),
-            F.sqrt(F.when(spread < 0, F.lit(0.0)).otherwise(spread)).alias("std"),
-            F.min("v").alias("min"),
-            F.percentile("v", list(probabilities), F.col("n")).alias("_p"),
-            F.max("v").alias("max"),
-        )
-        .select(
-            "user_type",
-            "count",
-            "mean",
-            "std",
-            "min",
-            *[F.col("_p")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(probabilities)],
-            "max",
-        )
+    means = grouped.groupBy("user_type").agg(
+        F.sum("n").alias("count"), (F.sum(n * v) / F.sum("n")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    apart = v - F.col("mean")
+    spread = grouped.join(F.broadcast(means), "user_type").groupBy("user_type", "count", "mean", "min", "max").agg(
+        F.sum(n * apart * apart).alias("squares")
+    )
+    places = exact_quantiles(grouped, ["user_type"], "v", probabilities, F.col("n"))
+    return spread.join(places.select("user_type", "quantiles"), "user_type").select(
+        "user_type",
+        "count",
+        "mean",
+        F.sqrt(F.try_divide("squares", F.col("count") - 1)).alias("std"),
+        "min",
+        *[F.col("quantiles")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(probabilities)],
+        "max",
     )
 
 

@@ -16,7 +16,8 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = (
     "build_sessions", "session_funnel", "canonical_id", "item_id_mapping", "numeric_keys", "resolve_identities_mode",
     "session_percentiles", "cluster_cv_high", "session_list", "split_loo", "negatives_100", "benchmark_models",
-    "map_points", "merge_runs", "metric_quartiles", "stable_core",
+    "map_points", "merge_runs", "metric_quartiles", "stable_core", "duration_percentiles",
+    "metric_quartiles_merged", "session_vs_recs",
 )
 CHECKED = list(ORACLE) if os.environ.get("ALL_QUERIES") else SOME
 

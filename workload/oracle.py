@@ -404,6 +404,14 @@ oracle(
     + """, max(n_events) AS max
     FROM (SELECT * FROM typed UNION ALL SELECT n_events, 'all' FROM typed) GROUP BY user_type""",
 )
+part("timed", "SELECT duration_seconds AS v, CASE WHEN is_anonymous THEN 'anonymous' ELSE 'logged' END AS user_type FROM stat")
+oracle(
+    "duration_percentiles",
+    """SELECT user_type, count(*) AS count, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS std, min(v) AS min,
+    """
+    + ", ".join(f"round(quantile_cont(v, {p / 100}), 3) AS p{p}" for p in (25, 50, 75, 90, 99))
+    + """, max(v) AS max FROM (SELECT * FROM timed UNION ALL SELECT v, 'all' FROM timed) GROUP BY user_type""",
+)
 oracle(
     "user_type_counts",
     """SELECT user_type, count(*) AS sessions,
@@ -905,9 +913,10 @@ oracle(
     """SELECT model, round(avg("test_mrr@10"), 12) AS "test_mrr@10", round(avg("test_hit@5"), 12) AS "test_hit@5",
     round(avg("test_hit@10"), 12) AS "test_hit@10" FROM merged GROUP BY model""",
 )
-oracle(
-    "metric_quartiles",
-    f"""SELECT name AS metric, count(*) AS n, {', '.join(
-        f'round(quantile_cont(value, {p / 100}), 6) AS p{p}' for p in (0, 25, 50, 75, 100))}
-    FROM ({melted('bench')}) WHERE value IS NOT NULL GROUP BY name""",
-)
+for name, source in (("metric_quartiles", "bench"), ("metric_quartiles_merged", "merged")):
+    oracle(
+        name,
+        f"""SELECT name AS metric, count(*) AS n, {', '.join(
+            f'round(quantile_cont(value, {p / 100}), 6) AS p{p}' for p in (0, 25, 50, 75, 100))}
+        FROM ({melted(source)}) WHERE value IS NOT NULL GROUP BY name""",
+    )

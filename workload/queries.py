@@ -380,6 +380,12 @@ def session_percentiles(spark, d):
     return rounded(described, "mean", "std", "p25", "p50", "p75", "p90", "p99")
 
 
+@query
+def duration_percentiles(spark, d):
+    described = stats.describe_sessions(session_numbers(spark, d), "duration_seconds")
+    return rounded(described, "mean", "std", "p25", "p50", "p75", "p90", "p99", places=3)
+
+
 @query
 def user_type_counts(spark, d):
     return stats.user_type_counts(session_numbers(spark, d), MIN_LENGTH, MAX_LENGTH)
@@ -702,6 +708,12 @@ def metric_means(spark, d):
     return rounded(runs.metric_means(merged), "test_mrr@10", "test_hit@5", "test_hit@10", places=12)
 
 
+@query
+def metric_quartiles_merged(spark, d):
+    table = runs.metric_quartiles(runs.merge_runs(tables.benchmark_runs(spark, d)))
+    return rounded(table, "p0", "p25", "p50", "p75", "p100")
+
+
 @query
 def metric_quartiles(spark, d):
     table = runs.metric_quartiles(tables.benchmark_runs(spark, d))
