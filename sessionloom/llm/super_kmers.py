@@ -35,11 +35,11 @@ from sessionloom.sources.scratch import save_scratch
 
 WINDOW = 35
 RUN = 8
-FILE_BYTES = 16 << 20  # of text in a file; a longer text has a file of its own
+FILE_BYTES = 8 << 20  # of text in a file; a longer text has a file of its own
 BUCKET_BYTES = 8 << 20  # of packed strings in a task
 MOST = 4_096  # windows of a packed string
 FILES_A_TASK = 4
-HOT = 4_096  # different strings of one minimiser from which its windows are spread
+HOT = 1_024  # different strings of one minimiser from which its windows are spread
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 
 
