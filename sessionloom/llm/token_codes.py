@@ -38,7 +38,7 @@ BLOCK = 512  # bits between two entries of a rank directory
 _MAGIC = b"DACS"
 _READ_TOKENS = 1 << 20
 _CACHED = 300_000  # words of a generation
-_TEXT_BYTES = 4 << 20  # of text encoded at once
+_TEXT_BYTES = 8 << 20  # of text encoded at once
 _TAIL = ".,!?;:#$%&*|"
 #: Letters whose normal form and lower case are one letter each, so that a mark behind them stays a piece of its own.
 _PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
@@ -107,16 +107,12 @@ class Words:
         known = words.known.to_pylist()
         self.learn(known)
         parts = [self.now[w] for w in known]
+        parts.append(np.uint32(end_id).tobytes())
+        words_and_ends = np.insert(words.codes, words.starts[1:], len(known))
+        data = b"".join(map(parts.__getitem__, words_and_ends.tolist()))
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        of_word = lengths[words.codes]
-        ends = np.concatenate(([0], np.cumsum(of_word)))
-        place = np.repeat((np.cumsum(lengths) - lengths)[words.codes] - ends[:-1], of_word) + np.arange(ends[-1])
-        cuts = ends[words.starts]
-        rows = len(cuts) - 1
-        out = np.full(ends[-1] + rows, end_id, np.uint32)
-        out[np.arange(ends[-1]) + np.repeat(np.arange(rows), np.diff(cuts))] = flat[place]
-        return out, cuts[:-1] + np.arange(rows)
+        ends = np.concatenate(([0], np.cumsum(lengths[words_and_ends])))
+        return np.frombuffer(data, "<u4"), ends[words.starts[:-1] + np.arange(len(words.starts) - 1)]
 
 
 @cache
