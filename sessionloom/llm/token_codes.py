@@ -83,11 +83,15 @@ class Words:
                 self.now[w] = self.old[w]
                 continue
             stem = w.rstrip(_TAIL)
-            if _PLAIN.fullmatch(stem):
-                tail = w[len(stem) :]
-                made.append((w, stem, tail))
+            if stem.isascii() and stem.isalpha() or _PLAIN.fullmatch(stem):
+                tail, stem = w[len(stem) :], stem.lower()  # as the tokenizer does, letter by letter
+                if stem != w:
+                    made.append((w, stem, tail))
                 if stem not in self.now:
-                    letters.add(stem)
+                    if stem in self.old:
+                        self.now[stem] = self.old[stem]
+                    else:
+                        letters.add(stem)
                 if tail and tail not in self.now:
                     others.add(tail)
             else:
