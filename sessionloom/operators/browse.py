@@ -1,12 +1,16 @@
 """Session list, session detail and item list for browsing."""
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import DataFrame, functions as F
 
 from sessionloom.functions.labels import DEFAULT_CENTER
 from sessionloom.operators import skew
+from sessionloom.operators.keys import row_in_partition
+from sessionloom.sources.scratch import save_scratch
 
 ORDER = ("timestamp", "event_id")
 SORT_COLUMNS = ("session_id", "event_count", "first_event", "last_event")
@@ -27,6 +31,57 @@ def summarize_sessions(
     )
 
 
+@dataclass
+class SessionPages:
+    """Sorted session summaries on disk, of which a page opens only the files that hold it.
+
+    ``parts`` has one (number, rows, file) per file, in order; that is all the driver knows.
+    """
+
+    rows: DataFrame
+    parts: list[tuple[int, int, str]]
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n, _ in self.parts)
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """The sessions at the 0-based places ``first`` to ``last``, the end excluded, with their ``place``."""
+        found, before = [], 0
+        for _, n, path in self.parts:
+            low, high = max(first - before, 0), min(last - before, n)
+            if low < high:
+                held = self.rows.sparkSession.read.schema(self.rows.schema).parquet(path)
+                held = held.where((F.col("_row") >= low) & (F.col("_row") < high))
+                found.append(held.withColumn("place", F.col("_row") + before))
+            before += n
+        out = found[0] if found else self.rows.where("false").withColumn("place", F.col("_row"))
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out.drop("_row", "_part")
+
+
+def index_sessions(
+    df: DataFrame, sort_by: str = "first_event", ascending: bool = False, order: Sequence[str] = ORDER
+) -> SessionPages:
+    """Session summaries, range-sorted by a column (unknown: ``first_event``) and then by id, and written.
+
+    Rows without session id are left out. One count per file reaches the driver.
+    """
+    if sort_by not in SORT_COLUMNS:
+        sort_by = "first_event"
+    main = F.col(sort_by).asc() if ascending else F.col(sort_by).desc()
+    by = [main, F.col("session_id").asc()]
+    summary = summarize_sessions(df.where(F.col("session_id").isNotNull()), order=order)
+    placed = summary.repartitionByRange(*by).sortWithinPartitions(*by)
+    saved = save_scratch(
+        placed.withColumns({"_part": F.spark_partition_id(), "_row": row_in_partition()}), "session-pages"
+    )
+    files = {int(re.search(r"part-(\d+)", path.rsplit("/", 1)[1])[1]): path for path in saved.inputFiles()}
+    counts = sorted(saved.groupBy("_part").count().collect())
+    return SessionPages(saved, [(part, n, files[part]) for part, n in counts])
+
+
 def list_sessions(
     df: DataFrame,
     listings: DataFrame,
@@ -38,27 +93,25 @@ def list_sessions(
 ) -> DataFrame:
     """One page of the session list with the place of each session's first item.
 
-    An unknown sort column means ``first_event``; the page is clamped to the existing
-    ones. The number of sessions is the only value fetched. The page has at most
-    ``per_page`` rows, so it is broadcast to pick its listings.
+    An unknown sort column means ``first_event``; the page is clamped to the existing ones.
     """
-    if sort_by not in SORT_COLUMNS:
-        sort_by = "first_event"
-    total = df.agg(F.count_distinct("session_id")).first()[0]
-    pages = max(1, ceil(total / per_page))
-    page = max(1, min(page, pages))
-    main = F.col(sort_by).asc() if ascending else F.col(sort_by).desc()
-    rows = (
-        summarize_sessions(df, order=order)
-        .orderBy(main, "session_id")
-        .offset((page - 1) * per_page)
-        .limit(per_page)
-    )
+    return session_page(index_sessions(df, sort_by, ascending, order), listings, page, per_page)
+
+
+def session_page(pages: SessionPages, listings: DataFrame, page: int = 1, per_page: int = 50) -> DataFrame:
+    """`list_sessions` from an index: any page, however deep, reads the files that hold it.
+
+    The page has at most ``per_page`` rows, so it is broadcast to pick its listings.
+    """
+    total = pages.total
+    last = max(1, ceil(total / per_page))
+    page = max(1, min(page, last))
+    rows = pages.between((page - 1) * per_page, page * per_page)
     wanted = F.broadcast(rows.select("first_item").distinct())
     places = listings.select(F.col("listing_id_numeric").alias("first_item"), "state", "city").join(
         wanted, "first_item", "left_semi"
     )
-    return rows.join(F.broadcast(places), "first_item", "left").select(
+    return rows.join(F.broadcast(places), "first_item", "left").orderBy("place").select(
         "session_id",
         "user_id",
         "state",
@@ -68,9 +121,9 @@ def list_sessions(
         "last_event",
         F.lit(page).alias("page"),
         F.lit(total).cast("bigint").alias("total_sessions"),
-        F.lit(pages).alias("total_pages"),
+        F.lit(last).alias("total_pages"),
         F.lit(page > 1).alias("has_prev"),
-        F.lit(page < pages).alias("has_next"),
+        F.lit(page < last).alias("has_next"),
     )
 
 

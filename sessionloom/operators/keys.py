@@ -10,6 +10,11 @@ from sessionloom.sources.scratch import save_scratch
 _ROW_BITS = 33  # monotonically_increasing_id(): partition number above, row number below
 
 
+def row_in_partition() -> Column:
+    """0-based place of a row in its partition."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+
+
 def global_position(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Add the 1-based position of every row in a total order.
 

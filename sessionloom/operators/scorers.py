@@ -1,9 +1,9 @@
 """Next-item scorers as Spark jobs.
 
 A scorer is fitted on training interactions (user_id = session, item_id) and answers
-``top(history, k)``: the k best unseen items per session, and
-``score(history, candidates)``: scores of given (user_id, item_id) pairs. Items without
-a score are left out. Scores are rounded to 9 places so that ties are the same on every
+``top(history, k, only)``: the k best unseen items per session, of the items in ``only``
+if that is given, and ``score(history, candidates)``: scores of given (user_id, item_id)
+pairs. Items without a score are left out. Scores are rounded to 9 places so that ties are the same on every
 run, and ties go to the smaller item id.
 """
 
@@ -42,6 +42,13 @@ def among(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     return scores.join(candidates.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
 
 
+def listed(df: DataFrame, only: DataFrame | None, item: str = "item_id") -> DataFrame:
+    """Rows whose item is in ``only (item_id)``; all rows without it."""
+    if only is None:
+        return df
+    return df.join(only.select(F.col("item_id").alias(item)), item, "left_semi").select(*df.columns)
+
+
 def last_item(history: DataFrame, lag: int = 1, order=ORDER) -> DataFrame:
     """The ``lag``-th newest item of each session."""
     newest = Window.partitionBy("user_id").orderBy(*[F.col(c).desc() for c in order])
@@ -66,13 +73,18 @@ def cosine(dot: Column, norm_i: Column, norm_j: Column, shrink) -> Column:
     return F.try_divide(dot.cast("double"), F.sqrt(norm_i) * F.sqrt(norm_j) + shrink)
 
 
-def co_occurrence(train: DataFrame, longest: int | None = None) -> DataFrame:
+def longest_session(train: DataFrame) -> int:
+    """Rows of the longest session; the only value fetched."""
+    return train.groupBy("user_id").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def co_occurrence(train: DataFrame) -> DataFrame:
     """Dot products of item columns: (item_i < item_j, dot, norm_i, norm_j).
 
     Squared norms ride along with the rows, so pairs are only grouped, never joined
-    again. Sessions are short after the length limit (``longest`` states it); longer
-    ones are cut into blocks of LONG_SESSION items and each pair of blocks is its own
-    join key, so no session is paired inside one task and no pair is lost.
+    again. The longest session is measured. If it has more than LONG_SESSION rows,
+    sessions are cut into blocks of LONG_SESSION items and each pair of blocks is its own
+    join key, so no long session is paired inside one task and no pair is lost.
     """
     matrix = weights(train)
     norms = matrix.groupBy("item_id").agg(F.sum(F.col("x") * F.col("x")).alias("norm"))
@@ -80,7 +92,7 @@ def co_occurrence(train: DataFrame, longest: int | None = None) -> DataFrame:
     keys = ["user_id"]
     left = rows.withColumnsRenamed({"item_id": "item_i", "x": "x_i", "norm": "norm_i"})
     right = rows.withColumnsRenamed({"item_id": "item_j", "x": "x_j", "norm": "norm_j"})
-    if longest is None or longest > LONG_SESSION:
+    if longest_session(train) > LONG_SESSION:
         sizes = matrix.groupBy("user_id").agg(
             F.ceil(F.count("*") / LONG_SESSION).cast("int").alias("_blocks")
         )
@@ -117,12 +129,10 @@ def both_directions(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(ij, ji)).alias("_p"), *rest).select("_p.*", *rest)
 
 
-def item_similarity(
-    train: DataFrame, k: int = 100, shrink: float = 0.0, longest: int | None = None
-) -> DataFrame:
+def item_similarity(train: DataFrame, k: int = 100, shrink: float = 0.0) -> DataFrame:
     """The k most similar items of every item by (shrunk) cosine."""
     sim = cosine(F.col("dot"), F.col("norm_i"), F.col("norm_j"), shrink)
-    scored = co_occurrence(train, longest).select("item_i", "item_j", sim.alias("sim"))
+    scored = co_occurrence(train).select("item_i", "item_j", sim.alias("sim"))
     nearest = Window.partitionBy("item").orderBy(F.col("sim").desc(), "neighbour")
     return (
         both_directions(scored)
@@ -172,9 +182,9 @@ class Popularity:
     def score(self, history, candidates):
         return candidates.select("user_id", "item_id").join(popularity(self.train), "item_id")
 
-    def top(self, history, k):
+    def top(self, history, k, only=None):
         seen = seen_items(history)
-        lists = rank_lists(popularity(self.train).withColumn("list_id", F.lit(0)))
+        lists = rank_lists(listed(popularity(self.train), only).withColumn("list_id", F.lit(0)))
         asked = history.select("user_id").distinct().withColumn("list_id", F.lit(0))
         return best_unseen(asked, lists, seen, k, shared_list=True)
 
@@ -190,9 +200,9 @@ class Random:
         drawn = draw_unit(self.seed, F.col("user_id"), F.col("item_id"))
         return candidates.select("user_id", "item_id", drawn.alias("score"))
 
-    def top(self, history, k):
+    def top(self, history, k, only=None):
         drawn = draw_items(
-            history.select("user_id").distinct(), self.train, seen_items(history), k, self.seed
+            history.select("user_id").distinct(), listed(self.train, only), seen_items(history), k, self.seed
         )
         return drawn.select(
             "user_id",
@@ -209,16 +219,16 @@ class ItemKNN:
     train: DataFrame
     k: int = 100
     shrink: float = 0.0
-    longest: int | None = None
 
-    def all_scores(self, history):
-        return neighbour_scores(history, item_similarity(self.train, self.k, self.shrink, self.longest))
+    def all_scores(self, history, only=None):
+        similar = item_similarity(self.train, self.k, self.shrink)
+        return neighbour_scores(history, listed(similar, only, "neighbour"))
 
     def score(self, history, candidates):
         return among(self.all_scores(history), candidates)
 
-    def top(self, history, k):
-        return top_k(unseen(self.all_scores(history), history), k)
+    def top(self, history, k, only=None):
+        return top_k(unseen(self.all_scores(history, only), history), k)
 
 
 @dataclass
@@ -245,9 +255,9 @@ class Markov:
             .select("user_id", "item_id", "score")
         )
 
-    def top(self, history, k):
+    def top(self, history, k, only=None):
         asked = last_item(history, order=self.order).withColumnRenamed("item_id", "list_id")
-        return best_unseen(asked, rank_lists(self._lists()), seen_items(history), k)
+        return best_unseen(asked, rank_lists(listed(self._lists(), only)), seen_items(history), k)
 
 
 @dataclass
@@ -264,18 +274,17 @@ class SimilarityMarkov:
     k: int = 100
     alpha: float = 0.2
     order_len: int = 1
-    longest: int | None = None
     order: tuple = ORDER
     hot: DataFrame | str | None = skew.AUTO
 
-    def all_scores(self, history):
-        base = neighbour_scores(history, item_similarity(self.train, self.k, 0.0, self.longest))
+    def all_scores(self, history, only=None):
+        base = neighbour_scores(history, listed(item_similarity(self.train, self.k), only, "neighbour"))
         length = history.groupBy("user_id").agg(F.count("*").alias("_len"))
         parts = base.join(length, "user_id").select(
             "user_id", "item_id", (F.col("score") * F.pow("_len", F.lit(-self.alpha))).alias("score")
         )
         for lag in range(1, self.order_len + 1):
-            nexts = transitions(self.train, self.order, self.hot, lag)
+            nexts = listed(transitions(self.train, self.order, self.hot, lag), only, "item_j")
             steps = last_item(history, lag, self.order).withColumnRenamed("item_id", "item_i")
             parts = parts.unionByName(
                 steps.join(nexts, "item_i").select(
@@ -287,8 +296,8 @@ class SimilarityMarkov:
     def score(self, history, candidates):
         return among(self.all_scores(history), candidates)
 
-    def top(self, history, k):
-        return top_k(unseen(self.all_scores(history), history), k)
+    def top(self, history, k, only=None):
+        return top_k(unseen(self.all_scores(history, only), history), k)
 
 
 class Factorization:
@@ -321,14 +330,14 @@ class Factorization:
             "user_id", "item_id", F.col("prediction").cast("double").alias("score")
         )
 
-    def top(self, history, k):
+    def top(self, history, k, only=None):
         seen = seen_items(history)
         # as many more as the session has seen, which are left out afterwards
         asked = seen.groupBy("user_id").agg((F.count("*") + k).alias("wanted")).join(self.users, "user_id")
         queries = asked.join(self.model.userFactors, F.col("_user") == F.col("id")).select(
             F.col("user_id").alias("query"), F.col("features").alias("vector"), "wanted"
         )
-        items = self.model.itemFactors.join(self.items, F.col("_item") == F.col("id")).select(
+        items = self.model.itemFactors.join(listed(self.items, only), F.col("_item") == F.col("id")).select(
             F.col("item_id").alias("item"), F.col("features").alias("vector")
         )
         found = largest_products(queries, items).select(F.col("query").alias("user_id"), F.col("item").alias("item_id"), "score")
@@ -344,5 +353,5 @@ class ScoreTable:
     def score(self, history, candidates):
         return among(self.scores, candidates)
 
-    def top(self, history, k):
-        return top_k(unseen(self.scores, history), k)
+    def top(self, history, k, only=None):
+        return top_k(unseen(listed(self.scores, only), history), k)

@@ -249,9 +249,12 @@ def funnel_report(
         F.count_distinct("session").alias("sessions"),
         F.count_distinct("item").alias("items"),
     )
-    names = parts.sparkSession.createDataFrame(
-        [(number, name) for number, (name, _) in enumerate(steps)], "step int, name string"
-    )
+    return _with_shares(counted, [name for name, _ in steps])
+
+
+def _with_shares(counted: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """``step, rows, sessions, items`` with names, zeros for missing steps and shares of the step before."""
+    names = counted.sparkSession.createDataFrame(list(enumerate(steps)), "step int, name string")
     counts = ("rows", "sessions", "items")
     filled = names.join(F.broadcast(counted), "step", "left").select(
         "step", "name", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]
@@ -275,32 +278,66 @@ def session_funnel(
     item: str = "listing_id",
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """What each step of `build_sessions` keeps."""
+    """What each step of `build_sessions` keeps.
+
+    Every step keeps part of the one before, so a row is marked with the last step it
+    reaches, and a session or item with the last step of any of its rows. Events and
+    listings are read once: the marked ids and times, and the counted (session, item) pairs
+    from the repeats on, are written in between.
+    """
+    passed = [
+        F.lit(True) if business is None else F.coalesce(F.col("business_type") == business, F.lit(False)),
+        F.lit(True) if listings is None else F.col("_listed").isNotNull(),
+        F.coalesce(F.col("event_type").isin(*(PRESETS[types] if isinstance(types, str) else types)), F.lit(False)),
+    ]
     window = in_window(events, start, end, business=None)
-    sale = in_window(events, start, end, business)
-    known = sale if listings is None else known_items(sale, listings, item=item)
-    typed = interaction_events(known, types)
-    rows = to_interactions(typed, item).select(SESSION, ITEM, *order)
+    if listings is not None:
+        known = listings.select(F.col("listing_id_numeric").alias(item)).distinct().withColumn("_listed", F.lit(1))
+        window = skew.left_lookup(window, known, item)
+    step = F.lit(3)
+    for number in (2, 1, 0):
+        step = F.when(passed[number], step).otherwise(F.lit(number))
+    times = dict.fromkeys([*order, "event_ts"])
+    marked = save_scratch(
+        window.select(F.col("session_id").alias(SESSION), F.col(item).alias(ITEM), *times, step.alias("_step")), "funnel"
+    )
+    rows = marked.where(F.col("_step") == 3).dropna(subset=[SESSION, ITEM, "event_ts"]).drop("_step")
     distinct = drop_repeats(rows, order=order)
     sized = limit_sessions(distinct, min_length, max_length, order=order)
-    frequent = min_support(sized, support)
-    final = limit_sessions(frequent, min_length, max_length, order=order)
-
-    def source(df):
-        return df.select("session_id", F.col(item).alias("listing_id"))
-
-    def built(df):
-        return df.select(F.col(SESSION).alias("session_id"), F.col(ITEM).alias("listing_id"))
-
-    return funnel_report(
-        [
-            ("window", source(window)),
-            ("business", source(sale)),
-            ("known_items", source(known)),
-            ("event_types", source(typed)),
-            ("repeats", built(distinct)),
-            ("length", built(sized)),
-            ("support", built(frequent)),
-            ("final_length", built(final)),
-        ]
+    both = distinct.select(SESSION, ITEM, F.lit(1).alias("_n"), F.lit(0).alias("_sized")).unionByName(
+        sized.select(SESSION, ITEM, F.lit(0).alias("_n"), F.lit(1).alias("_sized"))
+    )
+    pairs = save_scratch(both.groupBy(SESSION, ITEM).agg(F.sum("_n").alias("_n"), F.sum("_sized").alias("_sized")), "funnel")
+    in_length = pairs.where(F.col("_sized") > 0).select(SESSION, ITEM, F.col("_sized").alias("_w"))
+    often = in_length.groupBy(ITEM).agg(F.sum("_w").alias("_n")).where(F.col("_n") >= support)
+    frequent = in_length.join(often.select(ITEM), ITEM, "left_semi")
+    long = frequent.groupBy(SESSION).agg(F.sum("_w").alias("_n")).where(F.col("_n") >= min_length)
+    final = frequent.join(long.select(SESSION), SESSION, "left_semi")
+    later = [pairs.select(SESSION, ITEM, F.col("_n").alias("_w")), in_length, frequent, final]
+    steps = None
+    for number, df in enumerate(later, 4):
+        part = df.select(F.lit(number).alias("step"), SESSION, ITEM, "_w")
+        steps = part if steps is None else steps.unionByName(part)
+    counted = _reached(marked).unionByName(
+        steps.groupBy("step").agg(
+            F.sum("_w").alias("rows"), F.count_distinct(SESSION).alias("sessions"), F.count_distinct(ITEM).alias("items")
+        )
+    )
+    return _with_shares(
+        counted,
+        ["window", "business", "known_items", "event_types", "repeats", "length", "support", "final_length"],
+    )
+
+
+def _reached(marked: DataFrame) -> DataFrame:
+    """Rows, sessions and items that reach each step, from rows marked with their last ``_step``."""
+    kinds = []
+    for kind in ("rows", "sessions", "items"):
+        key = {"sessions": SESSION, "items": ITEM}.get(kind)
+        last = marked if key is None else marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("_step").alias("_step"))
+        kinds.append(last.groupBy("_step").agg(F.count("*").alias("_n")).withColumn("_kind", F.lit(kind)))
+    every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    steps = every.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_step"))))
+    return steps.groupBy("step").agg(
+        *[F.coalesce(F.sum(F.when(F.col("_kind") == kind, F.col("_n"))), F.lit(0)).alias(kind) for kind in ("rows", "sessions", "items")]
     )

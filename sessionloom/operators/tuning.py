@@ -28,13 +28,14 @@ def tune_item_knn(
     cutoff: int = 10,
     n_negatives: int = 99,
     seed: int = 42,
-    longest: int | None = None,
 ) -> DataFrame:
     """MRR@cutoff on the validation items for every (k, shrink), best first.
 
-    Dot products are computed once. Each shrink value re-ranks the neighbours; every k is
-    then a prefix of that ranking, so one pass sums the scores of all grid points.
-    Validation candidates are the target and sampled negatives.
+    Dot products are computed once, and a pair of items stays one row: the rankings of an
+    item's neighbours under all shrink values share one shuffle, and the pair carries its
+    similarity and place under each. Every k is then a prefix of a ranking. Rows are
+    multiplied by the grid only where a session's scores are summed, after its evidence has
+    come together. Validation candidates are the target and sampled negatives.
     """
     train, history, targets = evaluation_parts(split, "valid")
     drawn = negatives(targets, history, split, n_negatives, seed)
@@ -43,20 +44,26 @@ def tune_item_knn(
         .unionByName(drawn.select("user_id", "item_id", F.lit(False).alias("is_target")))
         .withColumnRenamed("item_id", "neighbour")
     )
-    nearest = Window.partitionBy("shrink", "item").orderBy(F.col("sim").desc(), "neighbour")
-    grid = F.array(*[F.lit(float(s)) for s in shrinks])
-    sims = (
-        both_directions(co_occurrence(train, longest))
-        .withColumn("shrink", F.explode(grid))
-        .withColumn("sim", cosine(F.col("dot"), F.col("norm_i"), F.col("norm_j"), F.col("shrink")))
-        .withColumn("place", F.row_number().over(nearest))
-        .where(F.col("place") <= max(ks))
-        .select(F.col("item").alias("item_id"), "neighbour", "shrink", "sim", "place")
-    )
+    pairs = both_directions(co_occurrence(train))
+    sims = [cosine(F.col("dot"), F.col("norm_i"), F.col("norm_j"), F.lit(float(v))) for v in shrinks]
+    placed = pairs.withColumns({f"_s{g}": sim for g, sim in enumerate(sims)})
+    for g in range(len(shrinks)):
+        nearest = Window.partitionBy("item").orderBy(F.col(f"_s{g}").desc(), "neighbour")
+        placed = placed.withColumn(f"_p{g}", F.row_number().over(nearest))
+    grid = [
+        F.struct(F.lit(float(v)).alias("shrink"), F.col(f"_s{g}").alias("sim"), F.col(f"_p{g}").alias("place"))
+        for g, v in enumerate(shrinks)
+    ]
+    similar = placed.select(
+        F.col("item").alias("item_id"), "neighbour",
+        F.filter(F.array(*grid), lambda point: point["place"] <= max(ks)).alias("_grid"),
+    ).where(F.size("_grid") > 0)
     evidence = (
         weights(history)
         .join(candidates.select("user_id", "neighbour", "is_target"), "user_id")
-        .join(sims, ["item_id", "neighbour"])
+        .join(similar, ["item_id", "neighbour"])
+        .repartition("user_id")
+        .select("user_id", "neighbour", "is_target", "x", F.inline("_grid"))
     )
     value = F.col("x") * F.col("sim")
     sums = evidence.groupBy("user_id", "neighbour", "is_target", "shrink").agg(

@@ -28,6 +28,8 @@ def test_last_items_mask_and_cut_before_listing(spark, places):
     got = recs.recommend(history, scorers.ScoreTable(table), places, k=3)
     # 105 is masked, 104 is older than the last 20 and takes a place, 104 and 77 have no listing
     assert rows(got, "rank", "item_id") == [(1, 1)]
+    full = recs.recommend(history, scorers.ScoreTable(table), places, k=3, refill=True)
+    assert rows(full, "rank", "item_id") == [(1, 1), (2, 2)]
 
 
 def sample(spark):
@@ -95,6 +97,30 @@ def test_session_list_pages(spark, places):
     assert rows(detail, "session_id", "position", "item_id") == [("s03", 1, 4), ("s03", 2, 4)]
 
 
+@pytest.mark.parametrize("sort_by", browse.SORT_COLUMNS)
+@pytest.mark.parametrize("ascending", [True, False])
+def test_pages_are_stretches_of_the_whole_list(spark, places, sort_by, ascending):
+    data = [(f"s{i * 37 % 101:03d}" if i else None, 1 + i % 5, i // 7 * 10 + j, f"u{i}", j) for i in range(101) for j in range(1 + i % 3)]
+    df = spark.createDataFrame(data, "session_id string, item_id int, timestamp int, user_id string, event_id int")
+    index = browse.index_sessions(df, sort_by, ascending)
+    assert index.total == 100
+    whole = browse.summarize_sessions(df.where("session_id is not null")).collect()
+    whole.sort(key=lambda r: r.session_id)
+    whole.sort(key=lambda r: r[sort_by], reverse=not ascending)
+    if sort_by == "session_id" and not ascending:
+        assert whole[0].session_id > whole[1].session_id
+    got = [r.session_id for page in range(1, 9) for r in browse.session_page(index, places, page, 13).collect()]
+    assert got == [r.session_id for r in whole]
+    held = [index.between(a, a + 1) for a in range(100)]
+    assert all(len(one.inputFiles()) == 1 for one in held)
+    assert index.between(90, 200).count() == 10 and index.between(100, 200).count() == 0
+
+
+def test_no_sessions_have_one_empty_page(spark, places):
+    df = spark.createDataFrame([], "session_id string, item_id int, timestamp int, user_id string, event_id int")
+    assert browse.list_sessions(df, places).count() == 0
+
+
 def test_center_defaults_without_coordinates(spark, places):
     df = spark.createDataFrame([("s", 4), ("t", 1), ("t", 2), ("t", 1)], "session_id string, item_id int")
     got = {r.session_id: (r.center_lat, r.points) for r in browse.session_center(df, places).collect()}

@@ -74,7 +74,7 @@ def test_item_similarity_equals_brute_force(spark, clicks, frame, longest, monke
     got = defaultdict(list)
     if longest:
         monkeypatch.setattr(scorers, "LONG_SESSION", 100)
-    for r in scorers.item_similarity(frame, 5, 2.0, longest).orderBy("item", "rank").collect():
+    for r in scorers.item_similarity(frame, 5, 2.0).orderBy("item", "rank").collect():
         got[r["item"]].append((r.neighbour, round(r.sim, 9)))
     want = {i: [(j, round(s, 9)) for j, s in v] for i, v in brute_similarity(clicks, 5, 2.0).items()}
     assert dict(got) == want
@@ -94,6 +94,31 @@ def test_neighbour_scorer_equals_brute_force(spark, clicks, frame):
     assert as_lists(scorers.ItemKNN(frame, 6).top(frame, 4)) == want
 
 
+@pytest.mark.parametrize(
+    "build",
+    [
+        scorers.Popularity, lambda t: scorers.ItemKNN(t, 6), scorers.Markov,
+        lambda t: scorers.SimilarityMarkov(t, 6, order_len=2), lambda t: scorers.Factorization(t, 4, 2),
+        lambda t: scorers.ScoreTable(t.select("user_id", (F.col("item_id") + 1).alias("item_id")).distinct().withColumn("score", F.lit(1.0))),
+    ],
+    ids=["pop", "knn", "markov", "fused", "als", "table"],
+)
+def test_only_some_items_are_ranked(spark, clicks, frame, build):
+    some = sorted({i for _, i, _, _ in clicks})[::3]
+    only = spark.createDataFrame([(i,) for i in some], frame.select("item_id").schema)
+    scorer = build(frame)
+    want = {u: kept for u, all_of in as_lists(scorer.top(frame, 1_000)).items() if (kept := [r for r in all_of if r[0] in some][:4])}
+    assert want and as_lists(scorer.top(frame, 4, only)) == want
+
+
+def test_only_some_items_are_drawn(spark, clicks, frame):
+    some = sorted({i for _, i, _, _ in clicks})[::3]
+    only = spark.createDataFrame([(i,) for i in some], frame.select("item_id").schema)
+    got = as_lists(scorers.Random(frame).top(frame, 1_000, only))
+    for user, items in histories(clicks).items():
+        assert sorted(i for i, _ in got.get(user, [])) == sorted(set(some) - set(items))
+
+
 def test_popularity_lists_equal_brute_force(spark, clicks, frame):
     counts = Counter(i for _, i, _, _ in clicks)
     want = {u: ordered(counts, items, 5) for u, items in histories(clicks).items()}

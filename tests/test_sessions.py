@@ -177,3 +177,34 @@ def test_funnel_counts_each_step(spark):
     assert got[0] == (0, 3, 2, 2, None)
     assert got[1][:4] == (1, 2, 1, 2) and abs(got[1][4] - 2 / 3) < 1e-12
     assert got[2] == (2, 0, 0, 0, 0.0)
+
+
+def test_funnel_of_sessions_equals_its_steps(spark):
+    rng = random.Random(5)
+    events = [
+        (
+            rng.choice([None, *range(40)]), rng.choice([None, *range(12)]), rng.choice(["SALE", "SALE", "RENT", None]),
+            rng.choice(["a", "a", "b", None]), rng.choice(["2024-01-01", "2024-01-02", "2024-02-01"]), n // 3 if n % 17 else None, n,
+        )
+        for n in range(1200)
+    ]
+    df = spark.createDataFrame(
+        events, "session_id int, listing_id int, business_type string, event_type string, dt string, ts int, event_id int"
+    ).select("*", F.timestamp_seconds("ts").alias("event_ts"), F.lit(None).cast("string").alias("user_id"))
+    listings = spark.createDataFrame([(i,) for i in (*range(8), 3)], "listing_id_numeric int")
+    got = sessions.session_funnel(df, "2024-01-01", "2024-01-31", listings, types=("a",), min_length=3, max_length=6, support=7)
+    window = sessions.in_window(df, "2024-01-01", "2024-01-31", None)
+    sale = window.where("business_type = 'SALE'")
+    known = sale.where("listing_id < 8")
+    typed = known.where("event_type = 'a'")
+    distinct = sessions.drop_repeats(sessions.to_interactions(typed))
+    sized = sessions.limit_sessions(distinct, 3, 6)
+    frequent = sessions.min_support(sized, 7)
+    final = sessions.limit_sessions(frequent, 3, 6)
+    want = []
+    for step in (window, sale, known, typed, distinct, sized, frequent, final):
+        want.append((step.count(), step.agg(F.count_distinct("session_id")).first()[0], step.agg(F.count_distinct("listing_id")).first()[0]))
+    assert [(r["rows"], r["sessions"], r["items"]) for r in got.orderBy("step").collect()] == want
+    assert len(set(want)) == 8
+    plain = sessions.session_funnel(df.where("false"), "2024-01-01", "2024-01-31", business=None)
+    assert [r["rows"] for r in plain.collect()] == [0] * 8

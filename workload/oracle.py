@@ -749,6 +749,9 @@ part(
     item_id, score FROM rec_best WHERE item_id IN (SELECT listing_id_numeric FROM known)""",
 )
 oracle("recommend_topk", "SELECT user_id, rank, item_id, round(score, 6) AS score FROM rec")
+part("rec_listed", "SELECT * FROM rec_all WHERE item_id IN (SELECT listing_id_numeric FROM known)")
+best("rec_full", "rec_listed", "ses", 10)
+oracle("recommend_refill", "SELECT user_id, rank, item_id, round(score, 6) AS score FROM rec_full")
 part("loc", "SELECT * FROM lst WHERE lat IS NOT NULL AND lon IS NOT NULL")
 part(
     "pair_in",

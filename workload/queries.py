@@ -631,6 +631,13 @@ def recommend_topk(spark, d):
     return rounded(best, "score")
 
 
+@query
+def recommend_refill(spark, d):
+    """Top 10 of the items with a listing."""
+    rows = save_scratch(whole_sessions(spark, d), "sessions")
+    return rounded(recs.recommend(rows, knn(rows), tables.known_listings(spark, d), REC_K, refill=True), "score")
+
+
 @query
 def rec_distance(spark, d):
     rows, best = saved_recommendations(spark, d)
