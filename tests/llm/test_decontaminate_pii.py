@@ -29,6 +29,7 @@ def best(text, item):
 
 def test_leaks_equal_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 900)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     items = [(k, " ".join(word() for _ in range(rng.choice([15, 30, 31, 59])))) for k in range(20)]
@@ -56,6 +57,31 @@ def test_leaks_equal_brute_force(spark, docs, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i not in dirty)
 
 
+def test_long_text_with_items_at_both_ends_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(4)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    text = item + " " + "other words of plain prose, " * 180_000 + item.upper()
+    index = decontaminate.Items([(7, item)], 0.8, 23)
+    tracemalloc.start()
+    hits = index.hits(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, s, a, n) for i, s, a, n in hits] == [(7, 1.0, 0, 60)]
+    assert peak < 20 * len(text)
+    spans = decontaminate._spans(text, {0, 59, 10**9})
+    assert text[spans[0][0] : spans[59][1]] == item and spans[10**9][1] == len(text)
+
+
+@given(st.text(alphabet="ab1_ .,\u00c9\u0130\n", max_size=60), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_words_are_whole_across_chunks(text, chunk):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "CHUNK", chunk)
+        assert decontaminate.word_hashes(text).view("int64").tolist() == [hash(w) for w in re.findall(r"\w+", text.lower())]
+
+
 def test_no_items_and_no_documents(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.leaks(docs([(1, "a b c d e f")]), none).count() == 0
