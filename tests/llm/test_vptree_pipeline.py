@@ -5,23 +5,86 @@ import corpus_pipeline
 from sessionloom.llm import decontaminate, quality_knn, simhash, vptree
 
 
-def brute(points, queries, k, skip):
-    apart = np.sqrt(((queries[:, None] - points[None]) ** 2).sum(2))
-    apart[np.arange(len(queries)), skip] = np.inf
-    return np.lexsort((np.broadcast_to(np.arange(len(points)), apart.shape), np.round(apart, 10)), axis=1)[:, :k]
+def brute(points, ids, queries, own, k):
+    """Ids of the k largest inner products, smallest id first where they are equal."""
+    score = queries @ points.T
+    score[ids[None, :] == own[:, None]] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+    return ids[order]
 
 
-@pytest.mark.parametrize("factor,least", [(1.0, 1.0), (2.0, 0.9), (1e9, 0.05)])
+def clustered(rng, rows, width, groups, spread=0.02):
+    """Directions in tight groups; ``spread`` is the deviation of the logarithm of the lengths."""
+    middles = rng.normal(size=(groups, width))
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True) / width**0.5
+    x = middles[rng.integers(groups, size=rows)] + 0.1 * rng.normal(size=(rows, width))
+    return x * np.exp(spread * rng.normal(size=(rows, 1)))
+
+
+@pytest.mark.parametrize("factor,least", [(1.0, 1.0), (1.5, 0.9), (1e9, 0.05)])
 def test_factor_one_is_exact(factor, least):
     rng = np.random.default_rng(1)
     points = np.concatenate((rng.normal(size=(900, 12)), np.repeat(rng.normal(size=(1, 12)), 150, 0)))
+    ids = rng.permutation(len(points)) * 3
+    tree = vptree.VantageTree(points, ids, 32)
     asked = np.arange(0, len(points), 20)
-    rows, _ = vptree.VantageTree(points, 32).search(points[asked], 10, factor, asked)
-    want = brute(points, points[asked], 10, asked)
-    recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(rows, want, strict=True)])
-    assert recall >= least
+    rows, scores = tree.search(points[asked], ids[asked], 10, factor)
+    want = brute(points, ids, points[asked], ids[asked], 10)
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(rows, want, strict=True)]) >= least
     if factor == 1:
         assert (np.sort(rows) == np.sort(want)).all()
+        floor = np.sort(scores, axis=1)[:, 4]
+        some, above = tree.search(points[asked], ids[asked], 10, 1.0, floor)
+        assert all((x[np.isfinite(s)] == y[:n]).all() for x, s, y, n in zip(some, above, rows, np.isfinite(above).sum(1), strict=True))
+        assert (np.isfinite(above).sum(1) >= 6).all()
+
+
+@pytest.mark.parametrize("factor,share", [(1.0, 0.3), (2.0, 0.15)])
+def test_most_pairs_of_grouped_vectors_are_left_out(factor, share):
+    rng = np.random.default_rng(5)
+    points = clustered(rng, 8_000, 16, 40)
+    ids = np.arange(len(points))
+    tree = vptree.VantageTree(points, ids, 32)
+    rows, _ = tree.search(points[::40], ids[::40], 20, factor)
+    want = brute(points, ids, points[::40], ids[::40], 20)
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(rows, want, strict=True)]) >= (1.0 if factor == 1 else 0.9)
+    assert tree.compared < share * len(points) * len(points[::40])
+
+
+def test_trees_are_read_back_as_written(tmp_path):
+    rng = np.random.default_rng(6)
+    points, ids = rng.normal(size=(500, 5)), np.arange(500)
+    tree = vptree.VantageTree(points, ids, 16)
+    tree.write(f"file://{tmp_path}/tree.npz")
+    again = vptree.VantageTree.read(f"file://{tmp_path}/tree.npz")
+    for x, y in zip(tree.search(points, ids, 3), again.search(points, ids, 3), strict=True):
+        assert (x == y).all()
+
+
+def test_a_very_long_row_and_extreme_lengths_leave_the_search_exact(spark):
+    rng = np.random.default_rng(7)
+    x = clustered(rng, 1_200, 8, 10, 1.0)
+    x[33] *= 1e8
+    x[40:60] *= 1e-170
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in vptree.nearest_neighbours(table, shard_rows=100, leaf=16).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.arange(len(x))
+    for q in range(0, len(x), 20):
+        score = np.where(ids == q, -np.inf, x @ x[q])
+        assert got[q] == set(np.lexsort((ids, -score))[:20].tolist())
+
+
+def test_queries_go_to_few_rings_of_grouped_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = clustered(rng, 4_000, 16, 40)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    visits, found = [], vptree._found
+    monkeypatch.setattr(vptree, "_found", lambda sent, *rest: (visits.append(sent), found(sent, *rest))[1])
+    assert vptree.nearest_neighbours(table, shard_rows=100).count() == 200 * 20
+    assert visits[0].count() < 1.2 * 200
+    assert visits[1].count() < 0.3 * 200 * 40
 
 
 @pytest.mark.parametrize("shard,block", [(8_192, 1_024), (60, 7)])
