@@ -7,13 +7,16 @@ row is involved, so one very long row spoils neither the order nor the pruning e
 
 Shards: directions of a bounded sample are grouped around pivots, each row goes to its nearest
 pivot, and the rows of a pivot are sorted by their angle to it and cut into rings of bounded
-size (copies of one vector fall into several rings). A ring's tree is built once, by the task
-that holds the ring, and written to the shared folder beside the vectors; what Spark keeps is
-a row per ring with its range of angles and lengths.
+size. A ring's tree is built once, by the task that holds the ring, and written to the shared
+folder beside the vectors; what Spark keeps is a row per ring with its range of angles and
+lengths. Neighbouring rings form shards of about equal size, however small the rings are.
 
-Search: a query first goes to the ring where the bound is highest. Its k-th score there is the
-floor for all others: it goes on to those rings only whose bound reaches the floor. Tasks open
-the ring's file and pass a block of queries down the tree, leaving out what cannot reach the
+Copies: of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so only
+they are indexed, and equal queries are searched once.
+
+Search: a query first goes to the shard where the bound is highest. Its k-th score there is the
+floor for all others: it goes on to those shards only whose bound reaches the floor. Tasks open
+the shard's files and pass a block of queries down each tree, leaving out what cannot reach the
 query's k-th score so far. All angle bounds are multiplied by ``factor``: factor 1 leaves out
 only what cannot be among the nearest, so the search is exact; it is what queries use. A larger
 factor visits less. Leaves are compared as matrix products, and what may count is scored anew
@@ -74,9 +77,10 @@ class VantageTree:
 
     links: start, stop, nearer child, farther child and vantage direction of each node (-1: leaf);
     ranges: least and greatest angle to the parent's vantage direction, least and greatest length.
+    The root's parent is ``pivot``, the direction that all of the tree's rows were dealt by.
     """
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF, pivot: np.ndarray | None = None):
         units, lengths = directions(points)
         order, links, ranges, vantages = [], [], [], []
 
@@ -100,8 +104,10 @@ class VantageTree:
             links[node][1] = sum(map(len, order))
             return node
 
+        self.pivot = units[:1].sum(0) if pivot is None else pivot
         if len(points):
-            grow(np.argsort(ids, kind="stable"), 0.0, np.pi)
+            around = _angles(units, self.pivot[None])[:, 0]
+            grow(np.argsort(ids, kind="stable"), around.min(), around.max())
         order = np.concatenate(order) if order else np.zeros(0, int)
         self.points, self.ids, self.lengths = points[order], ids[order], lengths[order]
         self.links, self.ranges = np.array(links, np.int64).reshape(-1, 5), np.array(ranges).reshape(-1, 4)
@@ -121,15 +127,17 @@ class VantageTree:
             vars(tree).update({name: kept[name] for name in kept.files}, compared=0)
         return tree
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float = FACTOR, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(
+        self, queries: np.ndarray, k: int, factor: float = FACTOR, floor: np.ndarray | None = None, so_far: tuple[np.ndarray, np.ndarray] | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k largest inner products of each query, highest first, then smallest id.
 
-        own: the queries' ids, which do not count as neighbours. floor: per query, a score below
-        which rows are not wanted. Places that stay empty have score minus infinity.
+        floor: per query, a score below which rows are not wanted. so_far: what another tree's
+        search returned, to go on from. Places that stay empty have score minus infinity.
         """
         units, lengths = directions(queries)
         floor = np.full(len(queries), -np.inf) if floor is None else floor
-        ids, best = np.zeros((len(queries), k), self.ids.dtype), np.full((len(queries), k), -np.inf)
+        ids, best = so_far or (np.zeros((len(queries), k), self.ids.dtype), np.full((len(queries), k), -np.inf))
 
         def visit(node: int, some: np.ndarray) -> None:
             start, stop, near, far, vantage = self.links[node]
@@ -155,11 +163,10 @@ class VantageTree:
             error = 1e-12 * lengths[some][:, None] * self.lengths[start:stop]
             least = np.maximum(best[some, -1], floor[some])
             unset = np.isinf(least)
-            if unset.any() and stop - start > k + 1:  # k of this leaf are enough, and one for the query itself
-                least[unset] = np.partition(rough[unset] - error[unset], -k - 1, axis=1)[:, -k - 1]
+            if unset.any() and stop - start > k:  # k of this leaf are enough
+                least[unset] = np.partition(rough[unset] - error[unset], -k, axis=1)[:, -k]
             a, b = np.nonzero(rough + error >= least[:, None])
-            other = self.ids[start + b] != own[some[a]]
-            a, b = some[a[other]], start + b[other]
+            a, b = some[a], start + b
             if not len(a):
                 return
             its = np.unique(a)
@@ -172,7 +179,9 @@ class VantageTree:
             ids[its], best[its] = vec[order], score[order]
 
         if len(self.ids) and len(queries):
-            visit(0, np.arange(len(queries)))
+            limit = lengths * _limit(_angles(units, self.pivot[None])[:, 0], *self.ranges[0], factor)
+            if len(some := np.flatnonzero(limit >= np.maximum(best[:, -1], floor))):
+                visit(0, some)
         best[best < floor[:, None]] = -np.inf
         return ids, best
 
@@ -245,7 +254,7 @@ def _rings(rows: DataFrame, n: int, pivots: dict[int, np.ndarray], folder: str,
                 its = np.flatnonzero((size == s) & (pivot == p))
                 ring = part.take(pa.array(its))
                 (_, points), = _matrices(ring.column("embedding").combine_chunks())
-                tree = VantageTree(points, ring.column("vec_id").to_numpy(), leaf)
+                tree = VantageTree(points, ring.column("vec_id").to_numpy(), leaf, pivots[s][p] if p >= 0 else None)
                 path = f"{folder}/{uuid.uuid4().hex}.npz"  # attempts of one task never meet
                 tree.write(path)
                 low, high = (angle[its].min(), angle[its].max()) if p >= 0 else (0.0, np.pi)
@@ -265,58 +274,76 @@ def _rings(rows: DataFrame, n: int, pivots: dict[int, np.ndarray], folder: str,
 RING = ("path", "size", "pivot", "low", "high", "shortest", "longest", "n")
 
 
-def _sent(questions: DataFrame, rings: list, pivots: dict[int, np.ndarray], k: int, factor: float, first: bool) -> DataFrame:
-    """A row per query and ring to visit: at first the best rings with more than k rows, later the rest that reach ``floor``."""
+def _shards(rings: list, shard_rows: int) -> list[list[int]]:
+    """Neighbouring rings of one length of vectors together, up to ``shard_rows`` rows if there are several."""
+    out, held = [], 0
+    for i, ring in enumerate(rings):
+        if i == 0 or ring["size"] != rings[i - 1]["size"] or held + ring["n"] > shard_rows:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += ring["n"]
+    return out
+
+
+def _sent(questions: DataFrame, rings: list, shards: list[list[int]], pivots: dict[int, np.ndarray], k: int, factor: float, first: bool) -> DataFrame:
+    """A row per query and shard to visit: at first the best shards, until they have k rows, later the rest that reach ``floor``."""
     kind = questions.schema["vec_id"].dataType.simpleString()
-    number = {s: np.array([i for i, r in enumerate(rings) if r["size"] == s]) for s in {r["size"] for r in rings}}
+    number: dict[int, list[int]] = {}
+    for at, shard in enumerate(shards):
+        number.setdefault(rings[shard[0]]["size"], []).append(at)
     table = np.array([[r[c] for c in RING[2:]] for r in rings]).reshape(-1, 6)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             floors = batch.column("floor").to_numpy(zero_copy_only=False)
             for places, points in _matrices(batch.column("embedding")):
-                some = number.get(points.shape[1], np.zeros(0, int))
+                some = np.array(number.get(points.shape[1], []), int)
                 if not len(some):
                     continue
-                pivot, low, high, shortest, longest, rows = table[some].T
-                for at in range(0, len(places), max(1, CELLS // len(some))):
-                    its = places[at : at + max(1, CELLS // len(some))]
-                    units, lengths = directions(points[at : at + len(its)])
+                starts = np.cumsum([0] + [len(shards[x]) for x in some])[:-1]
+                pivot, low, high, shortest, longest, n = table[np.concatenate([shards[x] for x in some])].T
+                held = np.add.reduceat(n, starts)
+                step = max(1, CELLS // len(n))
+                for at in range(0, len(places), step):
+                    its = places[at : at + step]
+                    units, lengths = directions(points[at : at + step])
                     known = points.shape[1] in pivots
-                    angle = _angles(units, pivots[points.shape[1]])[:, pivot.astype(int)] if known else np.zeros((len(its), len(some)))
-                    limit = lengths[:, None] * _limit(angle, low, high, shortest, longest, factor)
+                    angle = _angles(units, pivots[points.shape[1]])[:, pivot.astype(int)] if known else np.zeros((len(its), len(n)))
+                    limit = np.maximum.reduceat(lengths[:, None] * _limit(angle, low, high, shortest, longest, factor), starts, axis=1)
                     by_limit = np.argsort(-limit, axis=1, kind="stable")
-                    seen = np.cumsum(rows[by_limit], axis=1) - rows[by_limit]
+                    seen = np.cumsum(held[by_limit], axis=1) - held[by_limit]
                     best = np.zeros(limit.shape, bool)
-                    np.put_along_axis(best, by_limit, seen <= k, 1)
+                    np.put_along_axis(best, by_limit, seen < k, 1)
                     a, b = np.nonzero(best if first else ~best & (limit >= floors[its][:, None]))
                     for cut in range(0, len(a), 8_192):
-                        rows_out = batch.take(pa.array(its[a[cut : cut + 8_192]]))
-                        yield rows_out.append_column("ring", pa.array(some[b[cut : cut + 8_192]], pa.int32()))
+                        out = batch.take(pa.array(its[a[cut : cut + 8_192]]))
+                        yield out.append_column("shard", pa.array(some[b[cut : cut + 8_192]], pa.int32()))
 
     return questions.select("vec_id", "embedding", "block", "floor").mapInArrow(
-        send, f"vec_id {kind}, embedding array<double>, block int, floor double, ring int"
+        send, f"vec_id {kind}, embedding array<double>, block int, floor double, shard int"
     )
 
 
-@lru_cache(maxsize=1)  # a task goes through the blocks of one ring one after another
-def _tree(path: str) -> VantageTree:
-    return VantageTree.read(path)
+@lru_cache(maxsize=1)  # a task goes through the blocks of one shard one after another
+def _trees(paths: tuple[str, ...]) -> list[VantageTree]:
+    return [VantageTree.read(path) for path in paths]
 
 
-def _found(sent: DataFrame, paths: list[str], k: int, factor: float) -> DataFrame:
+def _found(sent: DataFrame, paths: list[tuple[str, ...]], k: int, factor: float) -> DataFrame:
     kind = sent.schema["vec_id"].dataType.simpleString()
 
     def search(asked: pa.Table) -> pa.Table:
-        tree = _tree(paths[asked.column("ring")[0].as_py()])
         (_, queries), = _matrices(asked.column("embedding").combine_chunks())
-        of = asked.column("vec_id").to_numpy()
-        ids, scores = tree.search(queries, of, k, factor, asked.column("floor").to_numpy())
+        floor, so_far = asked.column("floor").to_numpy(), None
+        for tree in _trees(paths[asked.column("shard")[0].as_py()]):
+            so_far = tree.search(queries, k, factor, floor, so_far)
+        ids, scores = so_far
         a, b = np.nonzero(scores > -np.inf)
         number = asked.schema.field("vec_id").type
-        return pa.table({"query_id": pa.array(of[a], number), "vec_id": pa.array(ids[a, b], number), "score": scores[a, b]})
+        return pa.table({"query_id": pa.array(asked.column("vec_id").to_numpy()[a], number), "vec_id": pa.array(ids[a, b], number), "score": scores[a, b]})
 
-    return sent.groupBy("ring", "block").applyInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
+    return sent.groupBy("shard", "block").applyInArrow(search, f"query_id {kind}, vec_id {kind}, score double")
 
 
 def nearest_neighbours(
@@ -333,24 +360,39 @@ def nearest_neighbours(
     table gives an empty table.
 
     The driver holds the pivots (at most PIVOTS for a length of vectors) and a row for each ring,
-    that is for about ``shard_rows`` vectors.
+    that is for about ``shard_rows`` different vectors.
     """
     spark = vectors.sparkSession
     ship(spark)
     numbers = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.where(F.col("vec_id").isNotNull() & _usable("embedding")).select("vec_id", numbers.alias("embedding"))
     rows = save_scratch(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
-    asked = F.col("vec_id") % every == 0
-    n, queries = rows.agg(F.count("*"), F.count_if(asked)).first()
-    pivots = _pivots(rows, n, shard_rows)
-    rings = sorted(_rings(rows, n, pivots, new_folder(spark, "vantage-trees"), shard_rows, leaf).collect(), key=lambda r: r[1:])
-    paths = [r["path"] for r in rings]
+    asked = rows.where(F.col("vec_id") % every == 0)
+    # of equal vectors as many as anyone can have among the nearest, and one for the query itself
+    copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    indexed = save_scratch(rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy"), "indexed")
+    questions = save_scratch(asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")), "questions")
+    n, queries = indexed.count(), questions.count()
+    pivots = _pivots(indexed, n, shard_rows)
+    rings = sorted(_rings(indexed, n, pivots, new_folder(spark, "vantage-trees"), shard_rows, leaf).collect(), key=lambda r: r[1:])
+    shards = _shards(rings, shard_rows)
+    paths = [tuple(rings[i]["path"] for i in shard) for shard in shards]
+
     block = F.pmod(F.shiftrightunsigned(F.xxhash64("vec_id"), 20), F.lit(max(1, -(-queries // block_rows)))).cast("int")
-    questions = rows.where(asked).select("vec_id", "embedding", block.alias("block"))
     none = F.lit(float("-inf"))
-    first = save_scratch(_found(_sent(questions.withColumn("floor", none), rings, pivots, k, factor, True), paths, k, factor), "first-ring")
-    floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("floor"))
-    later = questions.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
-    found = first.union(_found(_sent(later, rings, pivots, k, factor, False), paths, k, factor))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spread = questions.withColumns({"block": block, "floor": none})
+    first = save_scratch(_found(_sent(spread, rings, shards, pivots, k + 1, factor, True), paths, k + 1, factor), "first-shard")
+    floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") > k, F.min("score")).otherwise(none).alias("floor"))
+    later = spread.drop("floor").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+    found = first.union(_found(_sent(later, rings, shards, pivots, k + 1, factor, False), paths, k + 1, factor))
+
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    nearest = found.withColumn("place", place).where(F.col("place") <= k + 1)
+    lists = nearest.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("nearest"))
+    answers = questions.join(lists.withColumnRenamed("query_id", "vec_id"), "vec_id").drop("vec_id")
+    # each query takes its vector's list without itself; no shuffle follows, so a hot vector's queries can be split
+    others = F.slice(F.filter("nearest", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    answered = asked.withColumnRenamed("vec_id", "query_id").join(answers, "embedding")
+    return answered.select("query_id", F.posexplode(others).alias("rank", "of")).select(
+        "query_id", (F.col("rank") + 1).alias("rank"), "of.vec_id", "of.score"
+    )
