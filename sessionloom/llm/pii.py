@@ -3,10 +3,12 @@
 E-mail addresses, IP addresses, card numbers and phone numbers are found by their form. They
 are the seeds. The words around a seed are lexical patterns: the two words before it, and the
 word before with the word after. Patterns and the identifier-like values that stand in
-them are a graph. Spark scores it in rounds: a pattern's confidence in a kind is the mean
-score of its distinct values, and a value that is no seed takes the best confidence of the
-patterns it stands in, if that is high. Values found so support further patterns in the next
-round. Every place of an accepted value is a new span of the kind.
+them are a graph. Identifier-like are tokens with an at sign or enough digits, and runs of
+digit groups parted by single spaces, such as ``(030) 123 45 67``. Spark scores the graph in
+rounds: a pattern's confidence in a kind is the mean score of its distinct values, and a value
+that is no seed takes the best confidence of the patterns it stands in, if that is high.
+Values found so keep kind and score and support further patterns in the next round, until a
+round finds no more. Every place of an accepted value is a new span of the kind.
 
 Texts are read once. What leaves them is spans, values and patterns, in a table in the
 shared folder; a pattern that very many values share is only ever counted by grouping.
@@ -23,11 +25,11 @@ from sessionloom.llm.common import ship
 from sessionloom.sources.scratch import save_scratch
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 CONFIDENCE = 0.8  # of a pattern, and so of the values it accepts
 SUPPORT = 3  # distinct values that a pattern needs for a kind
 DIGITS = 4  # of an identifier-like value without an at sign
-REACH = 96  # characters before and after a value in which its context words are looked for
+RUN_DIGITS = 19  # the most digits of a run of groups that is one value, as many as a card has
+REACH = 96  # characters before and after a value in which its context words stand whole
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,6 +37,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_GROUP = r"\(?[0-9][0-9()/.-]*+(?=[\s,;:!?]|$)"
+_GROUPS = re.compile(rf"(?<!\S)\(?\+?{_GROUP}(?: {_GROUP})++")
 _STRIP = "!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~"
 
 
@@ -95,28 +99,47 @@ def _plain(word: str) -> str:
 
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a value's place; none without a word before it."""
-    before = [w for w in map(_plain, text[max(0, start - REACH) : start].split()[-3:]) if w]
-    after = [w for w in map(_plain, text[end : end + REACH].split()[:1]) if w]
+    first, last = max(0, start - REACH), end + REACH
+    before, after = text[first:start].split()[-3:], text[end:last].split()[:1]
+    # a word that is cut by the reach is no word
+    if first > 0 and before and not text[first - 1].isspace() and not text[first].isspace() and len(text[first:start].split()) < 4:
+        before = before[1:]
+    if last < len(text) and after and not text[last].isspace() and text[end:last].rstrip() == text[end:last] and len(text[end:last].split()) == 1:
+        after = []
+    before, after = [w for w in map(_plain, before) if w], [w for w in map(_plain, after) if w]
     out = [f"{before[-2]} {before[-1]} _"] if len(before) > 1 else []
     return out + [f"{before[-1]} _ {after[0]}"] if before and after else out
 
 
+def digit_runs(text: str) -> list[tuple[int, int]]:
+    """Runs of digit groups parted by single spaces that are one value: DIGITS to RUN_DIGITS digits together."""
+    out = []
+    for m in _GROUPS.finditer(text):
+        if DIGITS <= len(_DIGIT.findall(m[0])) <= RUN_DIGITS:
+            out.append((m.start(), m.end() - len(m[0]) + len(m[0].rstrip("(/.-"))))
+    return out
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and identifier-like tokens apart from them, with value, kind (-1: none) and patterns."""
+    """Seeds and identifier-like values apart from them, with value, kind (-1: none) and patterns."""
     found = [(a, b, k) for k, a, b in spans]
     if found or any(d in text for d in "0123456789@"):
-        taken = sorted((a, b) for a, b, _ in found)
-        i = 0
+        tokens = []
         for m in re.finditer(r"\S+", text):
             token = m[0]
-            if "@" not in token and len(_DIGIT.findall(token)) < DIGITS:
-                continue
-            start = m.start() + len(token) - len(token.lstrip(_STRIP))
-            end = m.end() - len(token) + len(token.rstrip(_STRIP))
-            while i < len(taken) and taken[i][1] <= start:
-                i += 1
-            if start < end and not (i < len(taken) and taken[i][0] < end):
-                found.append((start, end, -1))
+            if "@" in token or len(_DIGIT.findall(token)) >= DIGITS:
+                tokens.append((m.start() + len(token) - len(token.lstrip(_STRIP)), m.end() - len(token) + len(token.rstrip(_STRIP))))
+        taken = sorted((a, b) for a, b, _ in found)
+        # runs first, as a token inside one is no value of its own
+        for offered in (digit_runs(text), tokens):
+            free, i = [], 0
+            for start, end in offered:
+                while i < len(taken) and taken[i][1] <= start:
+                    i += 1
+                if start < end and not (i < len(taken) and taken[i][0] < end):
+                    free.append((start, end))
+            found += [(a, b, -1) for a, b in free]
+            taken = sorted(taken + free)
     return [{"start": a, "end": b, "kind": k, "value": text[a:b], "patterns": patterns(text, a, b)} for a, b, k in sorted(found)]
 
 
@@ -152,31 +175,33 @@ def _extracted(docs: DataFrame) -> DataFrame:
 # ---- the graph -------------------------------------------------------------------------
 
 
-def accepted_values(places: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def accepted_values(places: DataFrame, rounds: int | None = None, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """``value, kind, score`` of the values that bootstrapping accepts.
 
     places: ``value``, ``kind`` (-1 for values that are no seeds) and ``patterns`` of each place.
+    rounds: the most rounds; by default they go on until one accepts nothing new, which ends
+    since accepted values stay.
     """
     graph = save_scratch(places.select("value", F.explode("patterns").alias("pattern")).distinct(), "graph")
     seeds = save_scratch(places.where("kind >= 0").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
-    values = graph.groupBy("pattern").agg(F.count("*").alias("values"))
-    free = graph.join(seeds, "value", "left_anti")
+    values = save_scratch(graph.groupBy("pattern").agg(F.count("*").alias("values")), "patterns")
     best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
-    accepted, before = seeds.where(F.lit(False)), (0, None)
-    for _ in range(rounds):
-        scored = graph.join(seeds.union(accepted), "value")
-        sums = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("n")).where(F.col("n") >= support)
-        good = sums.join(values, "pattern").withColumn("score", F.col("sum") / F.col("values")).where(F.col("score") >= confidence)
+    accepted, turn = seeds.where(F.lit(False)), 0
+    while rounds is None or turn < rounds:
+        known = seeds.union(accepted)
+        sums = graph.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("n")).where(F.col("n") >= support)
+        # rounded, so that the order of a sum decides nothing
+        good = sums.join(values, "pattern").withColumn("score", F.round(F.col("sum") / F.col("values"), 9)).where(F.col("score") >= confidence)
+        free = graph.join(known, "value", "left_anti")
         offers = free.join(good.select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
-        accepted = save_scratch(offers.withColumn("place", F.row_number().over(best)).where("place = 1").select("value", "kind", "score"), "accepted")
-        state = tuple(accepted.agg(F.count("*"), F.sum(F.xxhash64("value", "kind", "score").cast("decimal(38,0)"))).first())
-        if state == before:  # a further round would accept the same
+        new = save_scratch(offers.withColumn("place", F.row_number().over(best)).where("place = 1").select("value", "kind", "score"), "accepted")
+        if new.isEmpty():
             break
-        before = state
+        accepted, turn = accepted.union(new), turn + 1
     return accepted
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int | None = None, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found`` for every row of ``docs (doc_id, text)``.
 
     The counts and base_sha256 are of the spans found by form, spans lists these and the

@@ -145,3 +145,85 @@ def test_copies_lend_no_support(docs):
     rows = [(i, "the code is a@b.org now") for i in range(50)] + [(99, "the code is 12345678 now")]
     assert all(r.n_found == 0 for r in pii.personal_data(docs(rows)).collect())
     assert pii.personal_data(docs(rows).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("my number is (030) 123 45 67, call", ["(030) 123 45 67"]),
+    ("at 12 34 5 or 1 2 3", ["12 34 5"]),
+    ("code 2024-0001 12ab", ["2024-0001"]),
+    ("fax 555 123-4567. then", ["555 123-4567"]),
+    (" ".join(["1234"] * 6), ["1234"] * 6),
+    ("a 10.0.0.1 2222 3333", ["10.0.0.1", "2222", "3333"]),
+    ("", []),
+])
+def test_runs_of_digit_groups_are_one_value(text, want):
+    assert [c["value"] for c in pii.candidates(text, pii.base_spans(text))] == want
+
+
+def test_long_runs_of_groups_take_linear_time():
+    for text in ("1 " * 200_000, "(1" * 200_000, "12 34x " * 100_000, "1" * 400_000 + " 2"):
+        pii.candidates(text, [])
+
+
+def test_context_words_are_whole_within_reach():
+    assert pii.patterns("x" * 200 + " 12345 " + "y" * 200, 201, 206) == []
+    near = "a " + "b" * 90 + " 12345 c"
+    assert pii.patterns(near, 93, 98) == [f"a {'b' * 90} _", f"{'b' * 90} _ c"]
+    assert pii.patterns("aaaa" + near[1:], 96, 101) == [f"{'a' * 4} {'b' * 90} _", f"{'b' * 90} _ c"]
+    assert pii.patterns("a" * 9 + near[1:], 101, 106) == [f"{'b' * 90} _ c"]
+
+
+def accepted_plainly(places, confidence, support):
+    seeds, graph = {}, {}
+    for value, kind, found in places:
+        for p in found:
+            graph.setdefault(p, set()).add(value)
+        if kind >= 0:
+            seeds[value] = (min(kind, seeds.get(value, (9,))[0]), 1.0)
+    accepted = {}
+    while True:
+        known, offers = seeds | accepted, {}
+        for values in graph.values():
+            for kind in range(4):
+                scores = [known[v][1] for v in values if v in known and known[v][0] == kind]
+                score = round(sum(scores) / len(values), 9)
+                if len(scores) >= support and score >= confidence:
+                    for v in values - set(known):
+                        offers.setdefault(v, []).append((-score, kind))
+        if not offers:
+            return accepted
+        accepted |= {v: (min(o)[1], -min(o)[0]) for v, o in offers.items()}
+
+
+@pytest.mark.parametrize("seed,confidence,support", [(1, 0.5, 2), (2, 0.6, 3), (3, 0.4, 1)])
+def test_accepted_values_equal_plain_rounds(spark, seed, confidence, support):
+    draw = random.Random(seed)
+    kinds = {v: draw.choice([-1, -1, 0, 1, 3]) for v in map(str, range(60))}
+    places = [(v, kinds[v], [f"p{draw.randrange(25)}" for _ in range(draw.randrange(4))]) for v in map(str, range(60)) for _ in range(2)]
+    # a chain that needs more rounds than three
+    places += [(f"s{i}", 0, ["c0"]) for i in range(8)]
+    places += [(f"t{n}-{i}", -1, [f"c{n}", f"c{n + 1}"]) for n in range(6) for i in range(2 if n == 0 else 1)]
+    places += [(f"s{i}", 0, [f"c{n}"]) for n in range(1, 7) for i in range(8)]
+    table = spark.createDataFrame(places, "value string, kind int, patterns array<string>").repartition(3)
+    got = {r.value: (r.kind, r.score) for r in pii.accepted_values(table, None, confidence, support).collect()}
+    want = accepted_plainly(places, confidence, support)
+    assert got.keys() == want.keys() and len(want) > 5
+    assert all(got[v][0] == want[v][0] and got[v][1] == pytest.approx(want[v][1]) for v in want)
+
+
+def test_a_chain_of_contexts_is_followed_to_its_end(spark):
+    # each link supports the next pattern only once it is accepted itself
+    places = [(f"s{i}", 2, ["c0"]) for i in range(9)] + [("t0", -1, ["c0", "c1"])]
+    places += [(f"u{n}-{i}", 2, [f"c{n}"]) for n in range(1, 7) for i in range(2)] + [(f"t{n}", -1, [f"c{n}", f"c{n + 1}"]) for n in range(1, 7)]
+    table = spark.createDataFrame(places, "value string, kind int, patterns array<string>")
+    got = {r.value for r in pii.accepted_values(table, None, 0.6, 3).collect()}
+    assert got == {f"t{n}" for n in range(7)}
+    assert {r.value for r in pii.accepted_values(table, 2, 0.6, 3).collect()} == {"t0", "t1"}
+
+
+def test_local_numbers_in_known_contexts_are_found(docs):
+    rows = [(i, f"hello please call me at +49 30 555 12{i:02d} today") for i in range(20)]
+    rows += [(100, "hello please call me at (030) 123 45 67 today"), (101, "it took 12 34 56 days")]
+    got = {r.doc_id: r for r in pii.personal_data(docs(rows)).collect()}
+    assert rows[20][1][24:39] == "(030) 123 45 67" and got[100].spans == "phone:24:39" and got[100].n_found == 1
+    assert got[101].n_found == 0 and got[0].n_phone == 1
