@@ -8,6 +8,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from workload.oracle import ORACLE
 from workload.queries import QUERIES
@@ -17,7 +18,7 @@ SOME = (
     "build_sessions", "session_funnel", "canonical_id", "item_id_mapping", "numeric_keys", "resolve_identities_mode",
     "session_percentiles", "cluster_cv_high", "session_list", "split_loo", "negatives_100", "benchmark_models",
     "map_points", "merge_runs", "metric_quartiles", "stable_core", "duration_percentiles",
-    "metric_quartiles_merged", "session_vs_recs",
+    "metric_quartiles_merged", "session_vs_recs", "item_lookup",
 )
 CHECKED = list(ORACLE) if os.environ.get("ALL_QUERIES") else SOME
 
@@ -66,3 +67,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["build_sessions"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "EqualTo(o_orderstatus,O)" in plan
     assert "l_extendedprice" not in plan
+
+
+def test_days_outside_the_window_are_not_read(spark):
+    # one run for rows and plan, as a folder is written for each of about 2,500 days
+    df = QUERIES["window_of_days"](spark, FOLDER)
+    found = df.select(*df.columns, F.input_file_name().alias("file")).collect()
+    assert sorted(r[:-1] for r in found) == sorted(map(tuple, QUERIES["load_window"](spark, FOLDER).select(*df.columns).collect()))
+    days = {r.file.split("dt=")[1][:10] for r in found}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "1996-01-01" <= min(days) and max(days) <= "2000-12-31"

@@ -251,6 +251,14 @@ oracle(
     FROM (SELECT * FROM raw_can WHERE active QUALIFY row_number() OVER (PARTITION BY anonymized_listing_id
     ORDER BY updated_at DESC NULLS LAST, source_order DESC, version DESC) = 1)""",
 )
+oracle(
+    "item_lookup",
+    """SELECT listing_id_numeric, anonymized_listing_id, lat, lon
+    FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY canonical_listing_id) AS INT) AS listing_id_numeric
+      FROM (SELECT * FROM raw_can WHERE active QUALIFY row_number() OVER (PARTITION BY anonymized_listing_id
+      ORDER BY updated_at DESC NULLS LAST, source_order DESC, version DESC) = 1))
+    QUALIFY row_number() OVER (PARTITION BY listing_id_numeric ORDER BY updated_at DESC NULLS LAST, anonymized_listing_id) = 1""",
+)
 oracle(
     "clean_events",
     """SELECT anonymized_session_id, event_id, anonymized_user_id, anonymized_anonymous_id, event_ms FROM raw_ev""",
@@ -298,6 +306,7 @@ EVENT = "session_id, listing_id, event_id, event_type, strftime(dt, '%Y-%m-%d')
 SHORT = "user_id, item_id, timestamp, event_id"
 oracle("interaction_events", f"SELECT {EVENT} FROM ev WHERE event_type IN ('AF', 'AO', 'NF', 'NO', 'RF')")
 oracle("load_window", f"SELECT {EVENT} FROM flag_bus")
+oracle("window_of_days", f"SELECT {EVENT} FROM flag_bus")
 oracle(
     "known_items",
     f"SELECT {EVENT} FROM ev WHERE listing_id IN (SELECT listing_id_numeric FROM known WHERE state <> 'NATION_3')",

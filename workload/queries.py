@@ -1,5 +1,6 @@
 """One query per operator, each over the whole test tables."""
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -21,8 +22,8 @@ from sessionloom.operators import (
     tuning,
 )
 from sessionloom.plans.benchmark import benchmark_table
-from sessionloom.sources.scratch import save_scratch
-from sessionloom.sources.writers import browse_rows, inter_rows
+from sessionloom.sources.scratch import save_scratch, scratch_folder
+from sessionloom.sources.writers import browse_rows, inter_rows, write_by_day
 from workload import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +192,13 @@ def item_id_mapping(spark, d):
     return mapping
 
 
+@query
+def item_lookup(spark, d):
+    """One listing per item number, from the numbered listings."""
+    numbered, _ = listings.map_item_ids(canonical_versions(spark, d), ties=("source_order", "version"))
+    return listings.item_lookup(numbered).select("listing_id_numeric", "anonymized_listing_id", "lat", "lon")
+
+
 # ---- events --------------------------------------------------------------------------
 
 
@@ -276,6 +284,14 @@ def load_window(spark, d):
     return _event_columns(sessions.in_window(tables.keyed_events(spark, d), START, END, BUSINESS))
 
 
+@query
+def window_of_days(spark, d):
+    """Keyed events written by day, then only the window's folders read."""
+    path = f"{scratch_folder(spark)}/keyed-events-{uuid.uuid4().hex}"
+    write_by_day(tables.keyed_events(spark, d), path)
+    return _event_columns(sessions.load_window(spark, path, START, END, BUSINESS))
+
+
 @query
 def known_items(spark, d):
     places = tables.known_listings(spark, d)
