@@ -31,6 +31,7 @@ NEIGHBOURS = 7
 SHARPNESS = 4  # power of the similarity that a vote counts
 THRESHOLD = 0.3
 _BLOCK = 256  # documents whose products are held at once
+_WIDTH = 8  # columns of a dense matrix whose products with a block are held at once
 _PIECE = 1 << 20  # bytes of a text counted at once
 _ITERATIONS = 6  # of the search for the singular vectors
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,8 +115,9 @@ class Terms:
         out = np.empty((len(self.starts) - 1, matrix.shape[1]), np.float32)
         for at in range(0, len(out), _BLOCK):
             a = self.starts[at : at + _BLOCK + 1]
-            part = matrix[self.columns[a[0] : a[-1]]] * self.values[a[0] : a[-1], None]
-            out[at : at + _BLOCK] = np.add.reduceat(part, a[:-1] - a[0])
+            columns, values = self.columns[a[0] : a[-1]], self.values[a[0] : a[-1], None]
+            for c in range(0, matrix.shape[1], _WIDTH):
+                out[at : at + _BLOCK, c : c + _WIDTH] = np.add.reduceat(matrix[columns, c : c + _WIDTH] * values, a[:-1] - a[0])
         return out
 
     def transposed_times(self, matrix: np.ndarray, height: int) -> np.ndarray:
@@ -123,10 +125,12 @@ class Terms:
         for at in range(0, len(self.starts) - 1, _BLOCK):
             a = self.starts[at : at + _BLOCK + 1]
             columns = self.columns[a[0] : a[-1]]
-            part = np.repeat(matrix[at : at + _BLOCK], np.diff(a), axis=0) * self.values[a[0] : a[-1], None]
             order = np.argsort(columns, kind="stable")
-            first = np.flatnonzero(np.diff(columns[order], prepend=-1))
-            out[columns[order][first]] += np.add.reduceat(part[order], first)
+            columns, values = columns[order], self.values[a[0] : a[-1]][order, None]
+            row = at + np.repeat(np.arange(len(a) - 1), np.diff(a))[order]
+            first = np.flatnonzero(np.diff(columns, prepend=-1))
+            for c in range(0, matrix.shape[1], _WIDTH):
+                out[columns[first], c : c + _WIDTH] += np.add.reduceat(matrix[row, c : c + _WIDTH] * values, first)
         return out
 
 
