@@ -314,3 +314,27 @@ def test_random_parameter_table(spark):
         assert r.depth in (1, 2, 3) and r.step * 4 == int(r.step * 4)
     with pytest.raises(ValueError):
         tuning.random_table(spark, {"x": {"type": "other", "min": 0, "max": 1}})
+
+
+@pytest.mark.parametrize("long", [2, 10_000])
+def test_draws_of_long_sessions_and_small_catalogues(spark, clicks, frame, long, monkeypatch):
+    monkeypatch.setattr("sessionloom.operators.sampling.LONG", long)
+    got = draw_items(frame.select("user_id").distinct(), frame, scorers.seen_items(frame), 9, seed=3)
+    seen = {u: set(i) for u, i in histories(clicks).items()}
+    items = {i for _, i, _, _ in clicks}
+    drawn = defaultdict(dict)
+    for r in got.collect():
+        drawn[r.user_id][r.draw] = r.item_id
+    for u, of in seen.items():
+        assert set(drawn[u]) == set(range(1, min(9, len(items - of)) + 1))
+        assert not of & set(drawn[u].values()) and len(set(drawn[u].values())) == len(drawn[u])
+
+
+def test_draws_are_not_written(spark, frame, monkeypatch):
+    """201 places of a session were written, and its array went through two more shuffles."""
+    from sessionloom.operators import sampling
+
+    saved, save = [], sampling.save_scratch
+    monkeypatch.setattr(sampling, "save_scratch", lambda df, name: saved.append(df.columns) or save(df, name))
+    draw_items(frame.select("user_id").distinct(), frame, scorers.seen_items(frame), 5, seed=7)
+    assert all("_places" not in columns and "_kept" not in columns for columns in saved)
