@@ -45,3 +45,37 @@ def test_no_sessions_and_no_lists(spark):
     seen = history(spark)
     assert scorers.ItemKNN(seen).top(seen.where("false"), 5).count() == 0
     assert scorers.ItemKNN(seen.where("false")).top(seen, 5).count() == 0
+
+
+def test_hidden_items_take_their_places(spark, monkeypatch):
+    """They were taken out by a join and a ranking over all recommendations."""
+    monkeypatch.setattr(session_blocks, "ROWS_A_BLOCK", 100)
+    seen = history(spark)
+    hidden = seen.select("item_id").distinct().where("item_id < 'i15'")
+    for scorer in (scorers.ItemKNN(seen, 7), scorers.SimilarityMarkov(seen, 7, order_len=2, hot=None)):
+        plain = scorers.top_k(scorers.unseen(scorer.all_scores(seen), seen), 5).drop("rank")
+        plain = scorers.top_k(plain.join(hidden, "item_id", "left_anti"), 5)
+        columns = ("user_id", "item_id", "score", "rank")
+        assert rows(scorer.top(seen, 5, hidden=hidden), *columns) == rows(plain, *columns)
+
+
+@pytest.mark.parametrize("known", ["item_id < 'i13'", "true"])
+def test_merged_blocks_give_the_same_sums(spark, monkeypatch, known):
+    """Every block of ROWS_A_BLOCK got its own copy of an item's list; few items let blocks be merged."""
+    seen = history(spark).where("user_id < 1000").where(known)
+    want = rows(scorers.ItemKNN(seen, 7).top(seen, 5))
+    monkeypatch.setattr(session_blocks, "ROWS_A_BLOCK", 10)
+    monkeypatch.setattr(scorers, "split_long", lambda history: (history, None))
+    assert rows(scorers.ItemKNN(seen, 7).top(seen, 5)) == want
+
+
+@pytest.mark.parametrize("long", [128, 3])
+def test_pairs_cross_in_one_shuffle_and_hot_items_too(spark, monkeypatch, long):
+    """Pairs were shuffled by pair and then, both ways round, by item."""
+    monkeypatch.setattr(scorers, "LONG_SESSION", long)
+    seen = history(spark).where("user_id < 1000")
+    usual = rows(scorers.item_similarity(seen, 5))
+    plan = scorers.co_occurrence(seen)._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Exchange" not in plan
+    monkeypatch.setattr(scorers.skew, "HOT_FLOOR", 20)
+    assert rows(scorers.item_similarity(seen, 5)) == usual
