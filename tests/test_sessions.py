@@ -208,3 +208,20 @@ def test_funnel_of_sessions_equals_its_steps(spark):
     assert len(set(want)) == 8
     plain = sessions.session_funnel(df.where("false"), "2024-01-01", "2024-01-31", business=None)
     assert [r["rows"] for r in plain.collect()] == [0] * 8
+
+
+@pytest.mark.parametrize("support", [1, 7, 40, 1_000])
+def test_rare_items_are_looked_up_and_not_shuffled(spark, support):
+    """The second limit sorted and shuffled all sessions again."""
+    df = spark.range(900).select(
+        F.when(F.col("id") % 11 != 0, F.col("id") % 61).alias("user_id"),
+        F.when(F.col("id") % 13 != 0, F.floor(F.sqrt(F.pmod(F.xxhash64("id"), F.lit(900))))).alias("item_id"),
+        F.timestamp_seconds("id").alias("event_ts"),
+        F.col("id").alias("event_id"),
+    )
+    for low, high in ((2, 9), (9, 9), (4, 3)):
+        want = sessions.sessions_from(df, low, high, support, hot=None, written=False)
+        got = sessions.sessions_from(df, low, high, support, hot=None)
+        assert rows(got.fillna(-1)) == rows(want.fillna(-1))
+        if low <= high:
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
