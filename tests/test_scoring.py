@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import evaluation, inner_products, scorers, tuning
+from sessionloom.operators import evaluation, inner_products, sampled_ranks, scorers, tuning
 from sessionloom.operators.sampling import STEP, draw_items
 from sessionloom.plans.benchmark import benchmark_table
 from tests.conftest import rows
@@ -286,6 +286,58 @@ def test_largest_products_equal_brute_force_and_stop_early(spark, blocks):
         assert sorted((s + 0.0, i) for s, i in got[name]) == want
 
 
+@pytest.mark.parametrize("build", [
+    scorers.Popularity, lambda train: scorers.ItemKNN(train, 3), scorers.Markov, scorers.Random,
+    lambda train: scorers.Factorization(train, rank=4, iterations=2),
+])
+def test_uniform_ranks_equal_those_of_written_draws(spark, frame, build):
+    split = evaluation.split_leave_one_out(frame)
+    train, history, targets = evaluation.evaluation_parts(split)
+    model = build(train)
+    drawn = evaluation.negatives(targets, history, split, 10)
+    want = rows(evaluation.ranks_sampled(model, history, targets, drawn, 4), "user_id", "item_id", "rank")
+    assert rows(evaluation.ranks_uniform(model, history, targets, split, 10, depth=4), "user_id", "item_id", "rank") == want
+
+
+def test_draws_of_factors_are_not_shuffled_and_sparse_scorers_draw_little(spark, tmp_path):
+    """Draws were rows that met their items in a shuffle, and were made for sessions without evidence."""
+    item = lambda u, i: 1_000 + 5 * u + i if u % 10 else (u // 10 + i) % 5
+    views = [(u, item(u, i), f"2024-01-01 00:00:0{i}", 5 * u + i) for u in range(200) for i in range(5)]
+    frame = spark.createDataFrame(views, "user_id bigint, item_id bigint, event_ts string, event_id bigint")
+    split = evaluation.split_leave_one_out(frame, hot=None)
+    train, history, targets = evaluation.evaluation_parts(split)
+    plan = evaluation.ranks_uniform(scorers.Popularity(train), history, targets, split, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "posexplode" not in plan.lower()
+    seen = []
+    real = evaluation.negatives
+    evaluation.negatives = lambda asked, *a: seen.append(asked.count()) or real(asked, *a)
+    try:
+        ranks = evaluation.ranks_uniform(scorers.ItemKNN(train), history, targets, split, 50).collect()
+    finally:
+        evaluation.negatives = real
+    assert len(ranks) == 200 and seen == [20] and sum(r["rank"] is not None for r in ranks) == 20
+
+
+@pytest.mark.parametrize("entries", [1, 7, 1_000])
+def test_places_are_ranked_in_pieces(spark, entries, monkeypatch):
+    for name, value in (("ITEM_BLOCK", 3), ("PRODUCTS_AT_ONCE", 2), ("ITEMS_A_FILE", 4)):
+        monkeypatch.setattr(sampled_ranks, name, value)
+    draw = np.random.default_rng(1)
+    items = [(p, [float(draw.integers(0, 4)), float(draw.integers(0, 4))]) for p in range(1, 21) if p % 6]
+    asked = []
+    for u in range(30):
+        places = draw.permutation(20)[: draw.integers(1, 12)] + 1
+        at = int(draw.integers(0, 3))
+        asked.append((f"u{u}", [1.0, float(u % 3)], places[:at].tolist(), [f"i{p}" for p in places[:at]], places[at:].tolist()))
+    table = spark.createDataFrame(asked, "user_id string, vector array<double>, targets array<bigint>, names array<string>, drawn array<bigint>")
+    known = spark.createDataFrame(items, "place bigint, vector array<double>").repartition(3)
+    want, vectors = [], dict(items)
+    for u, q, own, names, other in asked:
+        order = sorted((p for p in own + other if p in vectors), key=lambda p: (-np.dot(q, vectors[p]), p))[:3]
+        want += [(u, f"i{p}", order.index(p) + 1) for p in own if p in order]
+    assert rows(sampled_ranks.ranks_of_places(table.repartition(2), known, 3, entries)) == sorted(want)
+
+
 def test_grid_equals_single_evaluations(spark, frame):
     split = evaluation.split_leave_one_out(frame)
     grid = tuning.tune_item_knn(split, ks=(2, 5), shrinks=(0.0, 10.0), n_negatives=10)
