@@ -338,6 +338,17 @@ def test_places_are_ranked_in_pieces(spark, entries, monkeypatch):
     assert rows(sampled_ranks.ranks_of_places(table.repartition(2), known, 3, entries)) == sorted(want)
 
 
+def test_grid_draws_only_for_sessions_with_evidence(spark, monkeypatch):
+    item = lambda u, i: 1_000 + 5 * u + i if u % 10 else (u // 10 + i) % 5
+    views = [(u, item(u, i), f"2024-01-01 00:00:0{i}", 5 * u + i) for u in range(100) for i in range(5)]
+    frame = spark.createDataFrame(views, "user_id bigint, item_id bigint, event_ts string, event_id bigint")
+    split, seen, real = evaluation.split_leave_one_out(frame, hot=None), [], tuning.negatives
+    monkeypatch.setattr(tuning, "negatives", lambda asked, *a: seen.append(asked.count()) or real(asked, *a))
+    best = tuning.tune_item_knn(split, ks=(5,), shrinks=(0.0,), n_negatives=10).first()
+    one = evaluation.evaluate(lambda train: scorers.ItemKNN(train, 5), split, "m", on="valid", mode="sampled", n_negatives=10, cutoffs=(10,))
+    assert seen == [10] and best.mrr == pytest.approx(one.where("metric = 'mrr'").first().value) and 0 < best.mrr <= 0.1
+
+
 def test_grid_equals_single_evaluations(spark, frame):
     split = evaluation.split_leave_one_out(frame)
     grid = tuning.tune_item_knn(split, ks=(2, 5), shrinks=(0.0, 10.0), n_negatives=10)
