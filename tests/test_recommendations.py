@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import browse, recommendations as recs, runs, scorers
+from sessionloom.operators import browse, recommendations as recs, runs, scorers, session_blocks
 from sessionloom.plans.report import benchmark_report
 from tests.conftest import rows
 
@@ -32,6 +32,27 @@ def test_last_items_mask_and_cut_before_listing(spark, places):
     assert rows(full, "rank", "item_id") == [(1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("last_n", [4, 20])
+def test_sessions_are_cut_only_where_one_is_longer(spark, monkeypatch, last_n):
+    """They were ranked by time and shuffled for it even if none is longer."""
+    views = [(f"s{u}", (u + i * i) % 7, i, 10 * u + i) for u in range(20) for i in range(2 + u % 5)]
+    sessions, cuts, real = spark.createDataFrame(views, SESSION), [], recs.history_cut
+    monkeypatch.setattr(recs, "history_cut", lambda rows, n, **by: cuts.append(n) or real(rows, n, **by))
+    scorer = scorers.ItemKNN(sessions, 5)
+    got = recs.recommend(sessions, scorer, k=3, last_n=last_n)
+    assert cuts == ([4] if last_n == 4 else [])
+    recent = sessions.where(F.col("event_ts") >= 0) if last_n == 20 else real(sessions, 4)
+    assert rows(got, "user_id", "item_id", "rank") == rows(scorer.top(recent, 3), "user_id", "item_id", "rank")
+
+
+def test_views_are_counted_in_their_block(spark):
+    """One shuffle of the events by session and one by block; views were counted in another before."""
+    sessions = spark.createDataFrame([(f"s{u}", (u + i) % 5, i, 10 * u + i) for u in range(9) for i in range(3)], SESSION)
+    asked, blocks = session_blocks.in_blocks(sessions)
+    plan = scorers.weights(asked)._jdf.queryExecution().executedPlan().toString()
+    assert blocks == 1 and plan.count("Exchange") == 1
+
+
 def sample(spark):
     sessions = spark.createDataFrame([("s", 1, 0, 0), ("s", 2, 1, 1), ("s", 1, 2, 2), ("s", 4, 3, 3), ("t", 4, 0, 4)], SESSION)
     best = spark.createDataFrame([("s", 1, 3, 0.9), ("s", 2, 5, 0.5), ("s", 3, 4, 0.1), ("t", 1, 1, 0.3)], "user_id string, rank int, item_id int, score double")
