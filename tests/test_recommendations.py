@@ -176,3 +176,28 @@ def test_quartiles_are_exact(spark):
     df = spark.createDataFrame([("m", "d", f"r{i}", v) for i, v in enumerate(values)], "model string, dataset string, run_name string, `test_x@1` double")
     got = runs.metric_quartiles(df).first()
     assert [got[f"p{p}"] for p in (0, 25, 50, 75, 100)] == pytest.approx(list(np.percentile(values, [0, 25, 50, 75, 100])))
+
+
+def test_pairs_are_no_rows_of_a_shuffle_or_sort(spark, places):
+    """Every pair was a row, sorted by recommendation or item, and recommendations were joined twice."""
+    sessions, best = sample(spark)
+    distances = recs.recommendation_distances(sessions, best, places)
+    links = recs.nearest_links(sessions, best, places, k=1, top=None, metric="planar")
+    for df in (distances, links):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
+    assert {(r.user_id, r.rank): r.closest_item for r in distances.collect()} == {("s", 1): 2, ("s", 2): 1, ("s", 3): None, ("t", 1): None}
+    assert rows(links, "user_id", "item_id", "views", "link", "rank", "rec_item") == [("s", 1, 2, 1, 2, 5), ("s", 2, 1, 1, 2, 5)]
+
+
+def test_refill_drops_the_few_unlisted_items_instead_of_keeping_the_listed(spark, monkeypatch):
+    """Lists of neighbours were shuffled to be compared with all listed items."""
+    views = [(f"s{u}", (u + i * i) % 9, i, 10 * u + i) for u in range(30) for i in range(2 + u % 5)]
+    sessions, saved, real = spark.createDataFrame(views, SESSION), {}, scorers.save_scratch
+    monkeypatch.setattr(scorers, "save_scratch", lambda df, name: saved.setdefault(name, real(df, name)))
+    only = spark.range(2, 50).select(F.col("id").cast("int").alias("item_id"))
+    scorer = scorers.ItemKNN(sessions, 5)
+    got = scorer.top(sessions, 3, only)
+    assert rows(saved["unlisted"]) == [(0,), (1,)]
+    plain = scorers.top_k(scorers.unseen(scorer.all_scores(sessions, only), sessions), 3)
+    assert rows(got, "user_id", "item_id", "rank") == rows(plain, "user_id", "item_id", "rank")
