@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import evaluation, inner_products, sampled_ranks, scorers, tuning
+from sessionloom.operators import evaluation, inner_products, ranked_lists, sampled_ranks, scorers, tuning
 from sessionloom.operators.sampling import STEP, draw_items
 from sessionloom.plans.benchmark import benchmark_table
 from tests.conftest import rows
@@ -401,3 +401,26 @@ def test_draws_are_not_written(spark, frame, monkeypatch):
     monkeypatch.setattr(sampling, "save_scratch", lambda df, name: saved.append(df.columns) or save(df, name))
     draw_items(frame.select("user_id").distinct(), frame, scorers.seen_items(frame), 5, seed=7)
     assert all("_places" not in columns and "_kept" not in columns for columns in saved)
+
+
+@pytest.mark.parametrize("build", [scorers.Popularity, scorers.Markov])
+def test_listed_ranks_are_no_rows_of_a_shuffle(spark, monkeypatch, build):
+    """Each session's ranks were rows, shuffled to leave seen items out and again to be counted."""
+    rng = random.Random(3)
+    views = [
+        (None if u == 7 else f"s{u}", None if rng.random() < 0.03 else int(rng.paretovariate(0.8)) % 40, i, 100 * u + i)
+        for u in range(40) for i in range(rng.randrange(1, 20))
+    ]
+    history = spark.createDataFrame(views, "user_id string, item_id int, event_ts int, event_id int")
+    targets = spark.createDataFrame([(f"s{u}", i) for u in range(45) for i in (u % 5, 9)], "user_id string, item_id int")
+    scorer = build(history)
+
+    def results():
+        best = scorer.top(history, 5)
+        return best, [sorted(map(repr, df.collect())) for df in (best, evaluation.ranks_full(scorer, history, targets, 8))]
+
+    best, short = results()
+    assert "LeftAnti" not in best._jdf.queryExecution().executedPlan().toString()
+    assert any("rank=1" in r for r in short[1]) and any("rank=None" in r for r in short[1])
+    monkeypatch.setattr(ranked_lists, "HEAD", 6)
+    assert results()[1] == short
