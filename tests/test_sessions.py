@@ -225,3 +225,19 @@ def test_rare_items_are_looked_up_and_not_shuffled(spark, support):
         assert rows(got.fillna(-1)) == rows(want.fillna(-1))
         if low <= high:
             assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_falls_out_is_looked_up_without_a_shuffle_of_the_rows(spark):
+    """All rows were shuffled by item and by session to be held against everything that stays."""
+    views = [(f"s{u}", (u + i) % 5, i, 10 * u + i) for u in range(9) for i in range(1 + u % 4)] + [("s1", 99, 5, 900), (None, 1, 0, 901)]
+    df = spark.createDataFrame(views, "user_id string, item_id int, event_ts int, event_id int")
+    core = sessions.stable_core(df, 2, 3)
+    assert "Exchange hashpartitioning" not in core._jdf.queryExecution().executedPlan().toString()
+    left = views[:-1]
+    while True:
+        many, long = Counter(v[1] for v in left), Counter(v[0] for v in left)
+        kept = [v for v in left if many[v[1]] >= 3 and long[v[0]] >= 2]
+        if len(kept) == len(left):
+            break
+        left = kept
+    assert left and rows(core) == sorted(left)
