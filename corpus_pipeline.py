@@ -15,7 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, by five-word shingles at a similarity of 0.8 or more."""
+    """One document of each class of near copies: candidates by op2's linked fingerprints and by
+    min-hashes, held exactly against a similarity of 0.8 of their five-word shingles."""
     return near_copies.keep_one(docs)
 
 

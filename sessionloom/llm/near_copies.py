@@ -1,8 +1,10 @@
 """Near copies by the Jaccard similarity of their five-word shingles.
 
-Min-hashes of a text's set of shingles make ``BANDS`` keys of ``ROWS`` each; texts that share a
-key are candidates. A pair of similarity 0.8 shares none about once in 1,000,000, more similar
-pairs less often still. Candidates are held together by connected components, and the sets of
+Texts of one class of `simhash` (fingerprints linked by few differing bits, as op2 links them) are
+candidates. So are texts less near than fingerprints reach down to: min-hashes of a text's set of
+shingles make ``BANDS`` keys of ``ROWS`` each, and texts that share a key are candidates too. A
+pair of similarity 0.8 shares none about once in 1,000,000, more similar pairs less often still.
+Candidates are held together by connected components, and the sets of
 their shingles (64-bit hashes) are compared exactly: first each with the smallest of its
 component, then those that were not similar to it with all of the component, in blocks of
 bounded size. Pairs of the similarity asked for are links, and linked texts are one class.
@@ -16,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from sessionloom.llm import simhash
 from sessionloom.llm.common import mix64, packed, ship
 from sessionloom.llm.components import connected_components, merge_labels
 from sessionloom.sources.scratch import save_scratch
@@ -101,7 +104,11 @@ def similar_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     spark = texts.sparkSession
     ship(spark)
     signed = save_scratch(_mapped(texts, ["key"], "bands", band_keys).dropDuplicates(["key"]), "bands")
-    entries = signed.select("key", F.explode("bands").alias("band"))
+    classed = simhash.classes(texts.select(F.col("key").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("key"), F.xxhash64(F.lit("simhash"), "component_id").alias("band")
+    )
+    classed = save_scratch(classed.dropDuplicates(["key"]), "simhash-classes")
+    entries = classed.unionByName(signed.select("key", F.explode("bands").alias("band")))
     heads = entries.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     # a text belongs to the smallest head of its bands, and that one is linked to its other heads:
     # of a large group few pairs of heads differ, so components are sought among those alone

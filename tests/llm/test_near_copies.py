@@ -61,3 +61,18 @@ def test_rows_without_id_and_repeated_rows(docs):
     got = near_copies.keep_one(docs(rows)).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, "lonely text"), (2, "other words"), (2, "that stand alone"), (3, "a b c d e f")]
     assert near_copies.keep_one(docs(rows).where("false")).count() == 0
+
+
+def test_linked_fingerprints_make_candidates_that_are_checked(spark, docs, tmp_path, monkeypatch):
+    """The stage had min-hashes alone; here no two texts share one."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: hashes[:0])
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(12):
+        words = [word() for _ in range(1_500)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:-1], word()]))]
+    line = " ".join(word() for _ in range(10))
+    rows += [(4_000 + n, " ".join([*[line] * 30, *[word() for _ in range(300)]])) for n in range(4)]
+    got = corpus_pipeline.near_dedup(spark, docs(rows), str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == kept_ids(rows)
