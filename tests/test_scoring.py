@@ -424,3 +424,11 @@ def test_listed_ranks_are_no_rows_of_a_shuffle(spark, monkeypatch, build):
     assert any("rank=1" in r for r in short[1]) and any("rank=None" in r for r in short[1])
     monkeypatch.setattr(ranked_lists, "HEAD", 6)
     assert results()[1] == short
+
+
+def test_a_fit_does_not_keep_the_shuffles_of_its_iterations(spark):
+    """Shuffles of factors stayed on disk to the end: 10 iterations held 20 of them."""
+    seen = spark.range(600).select((F.col("id") % 50).alias("user_id"), F.pmod(F.xxhash64("id"), F.lit(30)).alias("item_id"))
+    model = scorers.Factorization(seen, rank=4, iterations=3).model
+    lineage = model.userFactors._jdf.queryExecution().toRdd().toDebugString()
+    assert "ReliableCheckpointRDD" in lineage and "itemFactors-2" not in lineage
