@@ -201,3 +201,20 @@ def test_refill_drops_the_few_unlisted_items_instead_of_keeping_the_listed(spark
     assert rows(saved["unlisted"]) == [(0,), (1,)]
     plain = scorers.top_k(scorers.unseen(scorer.all_scores(sessions, only), sessions), 3)
     assert rows(got, "user_id", "item_id", "rank") == rows(plain, "user_id", "item_id", "rank")
+
+
+def test_sides_are_shuffled_once_by_session(spark):
+    """Rows were counted by session and item, and every feature's row was shuffled once more by value."""
+    sessions = spark.createDataFrame([(u, i, 0, 0) for u in range(3) for i in (1, 2, 2)], "user_id long, item_id long, event_ts long, event_id long")
+    best = spark.createDataFrame([(u, 1, 3, 1.0) for u in range(3)], "user_id long, rank int, item_id long, score double")
+    places = spark.createDataFrame([(i, float(i), i, i, i, float(i), f"c{i}") for i in (1, 2, 3)], f"{recs.LISTING} long, price double, bedrooms int, bathrooms int, parking_spaces int, usable_areas double, city string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (recs.session_vs_recommendations(sessions, best, places), recs.top_cities(sessions, best, places)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 4, plan
+            assert found.where("user_id = 1").count() == found.count() / 3 > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    city = recs.top_cities(sessions, best, places).first()
+    assert (city.session_city, city.session_count, city.rec_city, city.rec_count) == ("c2", 2, "c3", 1)
