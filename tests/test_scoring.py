@@ -432,3 +432,15 @@ def test_a_fit_does_not_keep_the_shuffles_of_its_iterations(spark):
     model = scorers.Factorization(seen, rank=4, iterations=3).model
     lineage = model.userFactors._jdf.queryExecution().toRdd().toDebugString()
     assert "ReliableCheckpointRDD" in lineage and "itemFactors-2" not in lineage
+
+
+def test_draws_are_named_without_a_shuffle(spark):
+    """Each draw went to its item's place in a shuffle."""
+    items = spark.range(1, 30).select(F.concat(F.lit("i"), F.col("id")).alias("item_id"))
+    asked = spark.range(20).select(F.col("id").alias("user_id"))
+    none = asked.where("false").select("user_id", F.lit("").alias("item_id"))
+    drawn = draw_items(asked, items, none, 7)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0]
+    found = drawn.groupBy("user_id").agg(F.count_distinct("item_id").alias("n"), F.array_sort(F.collect_list("draw")).alias("d")).collect()
+    assert len(found) == 20 and all(r.n == 7 and r.d == list(range(1, 8)) for r in found)
